@@ -49,10 +49,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     # A source is stopped if its share of what its forerunners leave is above its cap.
     above = F.col("weight").cast("decimal(38,0)") * F.col("left") > F.col("cap").cast("decimal(38,0)") * F.col("left_weight")
     per = per.withColumn("stopped", above)
-    free = per.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"), F.sum(F.when(F.col("stopped"), F.col("cap"))).alias("cap_sum"), F.sum(F.when(F.col("stopped"), F.col("weight"))).alias("cap_weight"))
-    per = per.join(F.broadcast(free))  # one row
-    rest = F.col("all_size") - F.coalesce("cap_sum", F.lit(0))
-    rest_weight = F.col("all_weight") - F.coalesce("cap_weight", F.lit(0))
+    rest = F.sum(F.col("source_size") - F.when(F.col("stopped"), F.col("cap")).otherwise(0)).over(whole)
+    rest_weight = F.sum(F.when(F.col("stopped"), 0).otherwise(F.col("weight"))).over(whole)
     target = F.when(F.col("stopped"), F.col("cap").cast("double")).otherwise((F.col("weight") * rest).cast("double") / rest_weight.cast("double"))
     return per.select("source", "source_size", "weight", target.alias("target"))
 

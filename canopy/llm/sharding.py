@@ -37,12 +37,12 @@ def grow(slot_map: DataFrame) -> DataFrame:
 
     The choice depends on slot numbers and counts only, never on the data.
     """
-    stats = slot_map.agg((F.max("shard") + 1).alias("n"), F.max("version").alias("v"))
+    n, version = slot_map.agg(F.max("shard") + 1, F.max("version") + 1).first()  # of a table of fixed size
     w = Window.partitionBy("shard").orderBy(F.xxhash64("vslot", F.lit(17)), "vslot")
-    ranked = slot_map.withColumn("r", F.row_number().over(w)).crossJoin(F.broadcast(stats))  # one row
+    ranked = slot_map.withColumn("r", F.row_number().over(w))
     # Every (n+1)-th slot of a shard, the first at a place that differs by shard.
-    taken = (F.col("r") + F.col("shard")) % (F.col("n") + 1) == F.col("n")
-    return ranked.select("vslot", F.when(taken, F.col("n")).otherwise(F.col("shard")).cast("int").alias("shard"), (F.col("v") + 1).alias("version"))
+    taken = (F.col("r") + F.col("shard")) % (n + 1) == n
+    return ranked.select("vslot", F.when(taken, F.lit(n)).otherwise(F.col("shard")).cast("int").alias("shard"), F.lit(version).alias("version"))
 
 
 def slot_bytes(docs: DataFrame, slots: int = VIRTUAL_SLOTS) -> DataFrame:
@@ -68,7 +68,7 @@ def rebalance(slot_map: DataFrame, loads: DataFrame, tolerance: float = 0.02) ->
         if load[hi] <= mean * (1 + tolerance):
             break
         gap = (load[hi] - load[lo]) / 2
-        fits = [x for x in held[hi] if 0 < x[0] <= gap]
+        fits = [x for x in held[hi] if 0 < x[0] <= gap] or [x for x in held[hi] if 0 < x[0] < 2 * gap]
         if not fits:
             break
         x = max(fits)
