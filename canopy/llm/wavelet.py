@@ -34,8 +34,8 @@ MAGIC = b"WMX1"
 SHARD_TOKENS = 2_000_000
 #: Bits per entry of the rank directory.
 BLOCK = 512
-#: Pieces whose ids a worker remembers.
-CACHE = 300_000
+#: Runs and pieces whose ids a worker remembers.
+CACHE = 500_000
 END_ID = 1
 
 
@@ -200,33 +200,67 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.by_piece = splits_by_piece(tokenizer_path)
         self.vocabulary = self.tokenizer.get_vocab_size()
+        names = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(names.values(), default=0) + 1, bool)
+        self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _apart(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces, many to a call: the last token of each piece bears the end-of-word suffix."""
+        out: dict[str, bytes] = {}
+        for at in range(0, len(pieces), 4096):
+            some = pieces[at : at + 4096]
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.ends_word[got]) + 1)
+            if len(ends) == len(some) and ends[-1] == 4 * len(got):
+                ids, ends = got.tobytes(), ends.tolist()
+                out.update(zip(some, (ids[a:b] for a, b in zip([0, *ends], ends))))
+            else:
+                out.update(zip(some, self._encode(some)))
+        return out
+
+    def _learn(self, runs: list[str]) -> list[str]:
+        """Put runs without white space, and the pieces of those that aren't one, into the cache; return what is new in it."""
+        cache = self.cache
+        parts = {r: _PIECES.findall(r) for r in runs if not r.isalpha()}
+        fresh = self._apart(list({r for r in runs if r not in parts}.union(*parts.values()).difference(cache)))
+        cache.update(fresh)
+        for r, ps in parts.items():
+            cache[r] = b"".join(map(cache.__getitem__, ps))
+        return [*fresh, *parts]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        whole, parts = [], []
+        out: list[bytes] = [b""] * len(texts)
+        whole, parts, new = [], [], set()
+        cache = self.cache
         for i, t in enumerate(texts):
             if self.by_piece and "<|" not in t and _PLAIN.fullmatch(t):
-                parts.append((i, _PIECES.findall(t.lower())))
+                runs = t.lower().split()
+                # One look-up for each run: it costs more than all else here.
+                ids = list(map(cache.get, runs))
+                if None in ids:
+                    gaps = [k for k, x in enumerate(ids) if x is None]
+                    missing = [runs[k] for k in gaps]
+                    new.update(missing)
+                    parts.append((i, ids, gaps, missing))
+                else:
+                    out[i] = b"".join(ids)
             else:
                 whole.append(i)
         for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
             out[i] = ids
-        cache = self.cache
-        new = list({p for _, ps in parts for p in ps if p not in cache})
-        known = cache
-        if new:
-            fresh = dict(zip(new, self._encode(new)))
-            if len(cache) + len(fresh) <= CACHE:
-                cache.update(fresh)
-            else:
-                known = {p: cache[p] if p in cache else fresh[p] for _, ps in parts for p in ps}
-        for i, ps in parts:
-            out[i] = b"".join([known[p] for p in ps])
-        return out  # type: ignore[return-value]
+        fresh = self._learn(list(new)) if new else []
+        for i, ids, gaps, missing in parts:
+            for k, r in zip(gaps, missing):
+                ids[k] = cache[r]
+            out[i] = b"".join(ids)
+        if len(cache) > CACHE:
+            for r in fresh:
+                cache.pop(r, None)
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
