@@ -152,7 +152,9 @@ def dedup(docs: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
     place = F.col("tie") * F.lit(1 << 40) + F.col("at")
     found = found.select("d1", "d2", "key", place.alias("place"), "size")
     # The minimum is taken before the shuffle too, so a chunk of a third of all texts arrives as a row per task.
-    first = found.groupBy("d1", "d2").agg(F.min(F.struct("key", "place")).alias("first"))
+    first = found.groupBy("d1", "d2").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n"))
+    # Only chunks that occur again; written, so that the join is of plain shuffles, whose hot keys AQE splits.
+    first = table(first.where("n > 1").drop("n"), "first")
     later = found.join(first, ["d1", "d2"]).where(F.struct("key", "place") > F.col("first"))
     spans = later.select("key", F.shiftrightunsigned("place", 40).alias("tie"), F.expr("cast(place % 1099511627776L as int)").alias("at"), "size").distinct()
     return cut_spans(rows, spans, cuts.min_run, with_text=True)

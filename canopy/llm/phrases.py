@@ -197,7 +197,8 @@ def repeated_spans(rows: DataFrame, p: Parse = Parse()) -> DataFrame:
     """(key, tie, at, size) of byte spans in ``rows`` of ``identified`` that repeated strings cover; spans may overlap."""
     parsed = table(rows.where(F.octet_length("text") >= p.length).select("key", "tie", "text").mapInArrow(_parsed(p), PARSE_SCHEMA), "parse")
     # Counts are made before the shuffle too: a phrase of a third of all texts arrives as a row per task.
-    near = parsed.groupBy("near").agg(F.count("*").alias("rows"), (F.min("e1") != F.max("e1")).alias("mixed")).where("rows > 1").select("near", "mixed")
+    # Written, so that the join is of plain shuffles, whose hot keys AQE splits.
+    near = table(parsed.groupBy("near").agg(F.count("*").alias("rows"), (F.min("e1") != F.max("e1")).alias("mixed")).where("rows > 1").select("near", "mixed"), "near")
     hits = table(parsed.join(near, "near"), "hits")
     whole = lambda df: df.select("key", "tie", "at", (F.col("more") + F.lit(p.length)).cast("int").alias("size"))
     spans = whole(hits.where("NOT mixed"))
