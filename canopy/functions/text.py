@@ -65,7 +65,9 @@ def time_text(ns: Column) -> Column:
 
 def required_space(total: Column) -> Column:
     """Bytes a copy needs: the total plus the larger of 256 MiB and a tenth, rounded up; null on overflow."""
-    return F.try_add(total, F.greatest(F.lit(256 * 2**20).cast("long"), F.floor((total + 9) / 10).cast("long")))
+    rest = F.pmod(total, F.lit(10))
+    tenth = F.call_function("div", total - rest, F.lit(10).cast("long"))
+    return F.try_add(total, F.greatest(F.lit(256 * 2**20).cast("long"), tenth + (rest > 0).cast("long")))
 
 
 def backoff_seconds(failures: Column, most: int = 30) -> Column:

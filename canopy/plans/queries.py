@@ -170,7 +170,7 @@ def backlog_monotonic(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "quiet_gate",
-    """WITH e AS (SELECT user_id AS series, epoch(ts)::BIGINT AS "at", event_type, CASE WHEN event_type = 'view' THEN 0 ELSE event_id END AS g FROM events),
+    """WITH e AS (SELECT user_id AS series, floor(epoch(ts))::BIGINT AS "at", event_type, CASE WHEN event_type = 'view' THEN 0 ELSE event_id END AS g FROM events),
 f AS (SELECT series, "at", max(g) AS g, bool_or(event_type = 'error') AS blocked FROM e GROUP BY ALL),
 s AS (SELECT *, CASE WHEN coalesce(g <> lag(g) OVER (PARTITION BY series ORDER BY "at"), true) OR blocked THEN "at" END AS since FROM f)
 SELECT series, "at", "at" - max(since) OVER (PARTITION BY series ORDER BY "at" ROWS UNBOUNDED PRECEDING) >= 30 AS quiet FROM s""",

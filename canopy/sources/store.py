@@ -85,10 +85,10 @@ class SnapshotStore:
         snapshot = uuid.uuid4().hex
         entries.write.partitionBy("volume").parquet(f"{self.root}/data/{snapshot}")
         back = self.spark.read.schema(entries.schema).parquet(f"{self.root}/data/{snapshot}")
-        bad = broken(back)
-        if not bad.isEmpty():
+        bad = broken(back).limit(3).collect()
+        if bad:
             self._fs.delete(self._path(f"data/{snapshot}"), True)
-            raise StoreError(f"invalid entries: {bad.limit(3).collect()}")
+            raise StoreError(f"invalid entries: {bad}")
         row = table_digest(back).first()
         m = Manifest(last.version + 1 if last else 1, snapshot, generation if generation is not None else (last.generation + 1 if last else 1), cursor, cursor if metadata_cursor is None else metadata_cursor, row.rows, row.digest)
         self._write(f"manifests/{m.version}.json", json.dumps(asdict(m), sort_keys=True))
