@@ -35,7 +35,7 @@ SHARD_TOKENS = 2_000_000
 #: Bits per entry of the rank directory.
 BLOCK = 512
 #: Runs and pieces whose ids a worker remembers.
-CACHE = 500_000
+CACHE = 700_000
 END_ID = 1
 
 
@@ -175,6 +175,7 @@ class Shard:
 _PLAIN = re.compile("[\n\x20-\x7e\xa1-\xff]*")
 _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_MARKS = frozenset(".,;:!?)")
 _PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS} \n]+")
 
 
@@ -225,12 +226,23 @@ class Encoder:
     def _learn(self, runs: list[str]) -> list[str]:
         """Put runs without white space, and the pieces of those that aren't one, into the cache; return what is new in it."""
         cache = self.cache
-        parts = {r: _PIECES.findall(r) for r in runs if not r.isalpha()}
-        fresh = self._apart(list({r for r in runs if r not in parts}.union(*parts.values()).difference(cache)))
+        need, rest = [], []
+        for r in runs:
+            if r.isalpha():
+                need.append(r)
+            elif (head := r[:-1]).isalpha() and r[-1] in _MARKS:
+                rest.append((r, (head, r[-1])))  # most runs that aren't a word are one with a mark
+            else:
+                rest.append((r, _PIECES.findall(r)))
+        pieces = set(need)
+        for _, ps in rest:
+            pieces.update(ps)
+        fresh = self._apart([p for p in pieces if p not in cache])
         cache.update(fresh)
-        for r, ps in parts.items():
-            cache[r] = b"".join(map(cache.__getitem__, ps))
-        return [*fresh, *parts]
+        for r, ps in rest:
+            cache[r] = b"".join([cache[p] for p in ps])
+        fresh.update(rest)
+        return list(fresh)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -241,8 +253,8 @@ class Encoder:
                 runs = t.lower().split()
                 # One look-up for each run: it costs more than all else here.
                 ids = list(map(cache.get, runs))
-                if None in ids:
-                    gaps = [k for k, x in enumerate(ids) if x is None]
+                gaps = [k for k, x in enumerate(ids) if x is None]
+                if gaps:
                     missing = [runs[k] for k in gaps]
                     new.update(missing)
                     parts.append((i, ids, gaps, missing))
