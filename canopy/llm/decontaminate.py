@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from canopy.llm.common import bounded_broadcast, table
 
 #: Benchmark shingles, and documents with one, are broadcast up to so many rows; more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -121,8 +121,11 @@ def leaks(docs: DataFrame, bench: DataFrame, m: Match = Match()) -> DataFrame:
     windows = seeds.select("doc_id", "tie", "len", "k", "n", near.alias("start"))
     inside = F.greatest(F.lit(0), F.least(F.col("start"), F.col("len") - F.col("n")))
     windows = windows.withColumn("start", inside).distinct().groupBy("doc_id", "tie").agg(F.collect_set(F.struct("k", "n", "start")).alias("windows"))  # as bounded as the text
-    windows = bounded_broadcast(table(windows, "windows"), BROADCAST_ROWS)
-    at = texts.join(windows, texts["doc_id"].eqNullSafe(windows["doc_id"]) & (texts["tie"] == windows["tie"])).select(texts["doc_id"], texts["tie"], "ws", F.explode("windows").alias("v"))
+    windows = table(windows, "windows").select(F.col("doc_id").alias("w_id"), F.col("tie").alias("w_tie"), "windows")
+    # Only ids are broadcast, and only up to a number of them; the windows meet their texts in a shuffle.
+    same = texts["doc_id"].eqNullSafe(F.col("w_id")) & (texts["tie"] == F.col("w_tie"))
+    at = texts.join(bounded_broadcast(windows.select("w_id", "w_tie"), BROADCAST_ROWS), same, "left_semi")
+    at = at.join(windows, at["doc_id"].eqNullSafe(windows["w_id"]) & (at["tie"] == windows["w_tie"])).select("doc_id", "tie", "ws", F.explode("windows").alias("v"))
     at = at.dropDuplicates(["doc_id", "tie", "v"])  # equal rows
     key = ["doc_id", "tie", "k", "n", "start"]
     parts = None

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from canopy.llm.common import ascii_lower, bounded_broadcast, components, slices, table, words_of
 
 #: Documents whose ids may be broadcast to find their texts; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 
 
 @dataclass(frozen=True)

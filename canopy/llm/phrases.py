@@ -31,7 +31,7 @@ from canopy.llm.chunks import cut_spans, gear_hashes, identified
 from canopy.llm.common import bounded_broadcast, slices, table
 
 #: Documents whose ids may be broadcast to find their texts; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -212,7 +212,10 @@ def repeated_spans(rows: DataFrame, p: Parse = Parse()) -> DataFrame:
     groups = classes.groupBy("near").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("near", "k")
     asked = classes.join(groups, "near").select("one.key", "one.tie", F.struct("near", F.col("one.at").alias("at"), F.col("one.more").alias("more"), "n").alias("c"), "k")
     by_text = asked.groupBy("key", "tie").agg(F.collect_list("c").alias("classes"))  # as bounded as the text
-    texts = rows.select("key", F.col("tie").cast("int").alias("tie"), "text").join(bounded_broadcast(by_text.select("key", "tie", "classes"), BROADCAST_IDS), ["key", "tie"])
+    by_text = table(by_text, "asked")
+    # Only ids are broadcast, and only up to a number of them; what is asked of each text meets it in a shuffle.
+    texts = rows.select("key", F.col("tie").cast("int").alias("tie"), "text").join(bounded_broadcast(by_text.select("key", "tie"), BROADCAST_IDS), ["key", "tie"], "left_semi")
+    texts = texts.join(by_text, ["key", "tie"])
     cut = table(texts.mapInArrow(lambda it: _cut_phrases(p.length, it), "near long, key long, tie int, at int, n long, phrase binary"), "dictionary")
     small, large = groups.where(F.col("k") <= p.group_rows), groups.where(F.col("k") > p.group_rows)
     ordered = cut.join(small.select("near"), "near").repartition("near").sortWithinPartitions("near")
