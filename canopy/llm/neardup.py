@@ -13,7 +13,10 @@
 4. Groups of several blocks: what the first pass links is one class; documents
    outside their group's largest class are then held, block by block, against
    all documents of the group. So a group of very many near copies costs little
-   more than its size, and no link between classes is lost.
+   more than its size, and no link between classes is lost. Where more blocks
+   are outside than a document has bands, the same candidates are met within
+   the buckets of single bands instead, so that a chain of loosely alike
+   documents, however long, costs its buckets and not its square.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.common import ascii_lower, bounded_broadcast, components, slices, table, words_of
@@ -46,8 +49,9 @@ class Near:
     #: Hashes compared at once, and the posterior probability of a link below which a candidate is dropped.
     batch: int = 44
     miss: float = 1e-7
-    #: Documents of a block.
+    #: Documents of a block, and bytes of their sets.
     block: int = 256
+    block_bytes: int = 32_000_000
 
     @property
     def hashes(self) -> int:
@@ -194,7 +198,7 @@ def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = [s.tobytes() for s in shingle_sets(b.column(b.schema.get_field_index("text")).to_pylist(), words)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["doc_id", "grp", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "grp", "bytes", "shingles"])
 
     return run
 
@@ -282,29 +286,56 @@ def _tasks(df: DataFrame, near: Near) -> DataFrame:
     return dealt.mapInArrow(_linked(near), "u long, v long")
 
 
-def find_links(texts: DataFrame, near: Near) -> DataFrame:
-    """Verified links (u, v) that give the components of ``texts(doc_id, grp, text)`` within each group."""
-    sets = table(texts.select("doc_id", "grp", "text").mapInArrow(_sets(near.words), "doc_id long, grp long, shingles binary"), "sets")
-    counts = sets.groupBy("grp").agg(F.ceil(F.count("*") / near.block).alias("blocks"))
-    sets = sets.join(counts, "grp")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    first = table(_tasks(sets.select("*", F.lit(-1).alias("qb"), own.alias("bb"), F.col("doc_id").alias("label"), F.lit(True).alias("asks")), near), "links")
+def _blocks(docs: Column, size: Column, near: Near) -> Column:
+    """Blocks for so many documents with so many bytes of sets."""
+    return F.greatest(F.ceil(docs / near.block), F.ceil(size / near.block_bytes)).cast("int")
 
-    large = sets.where("blocks > 1")
-    if large.isEmpty():
-        return first
-    named = large.join(components(first).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
-    named = table(named, "named")
-    per = named.groupBy("grp", "label").agg(F.count("*").alias("n"))
-    most = per.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
-    named = named.join(most, "grp").where("others > 0").withColumn("asks", F.col("label") != F.col("main"))
+
+def _plan(named: DataFrame, near: Near) -> DataFrame:
+    """For each group of ``named(grp, doc_id, bytes, label)`` with several labels: its largest class, its blocks and those of the documents outside."""
+    per = named.groupBy("grp", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    whole = per.groupBy("grp").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "label", "bytes")).alias("top"))
+    outside = _blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes"), near)
+    return whole.where("n > top.n").select("grp", F.col("top.label").alias("main"), _blocks(F.col("n"), F.col("bytes"), near).alias("blocks"), outside.alias("ask_blocks"))
+
+
+def _meetings(named: DataFrame, plan: DataFrame) -> DataFrame:
+    """The tasks in which documents outside their group's largest class meet all of the group: grp, qb, bb, doc_id, label, asks."""
+    rows = named.join(bounded_broadcast(plan, BROADCAST_IDS), "grp").withColumn("asks", F.col("label") != F.col("main"))
     # Salted anew, so that a block's documents meet others than in the first pass.
-    ask_blocks = F.ceil(F.col("others") / near.block).cast("int")
-    asking = named.where("asks").select("*", F.pmod(F.xxhash64("doc_id", F.lit(7)), ask_blocks).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("bb"))
-    asked = named.select("*", F.explode(F.sequence(F.lit(0), ask_blocks - 1)).alias("qb"), own.alias("bb")).withColumn("asks", F.lit(False))
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("ask_blocks")).cast("int")
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    asking = rows.where("asks").select("grp", turn.alias("qb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("bb"), "doc_id", "label", "asks")
+    asked = rows.select("grp", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("qb"), block.alias("bb"), "doc_id", "label", "asks", turn.alias("turn"))
     # A document that asks in a block is in that task already.
-    asked = asked.where(~((F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("doc_id", F.lit(7)), ask_blocks).cast("int") == F.col("qb"))))
-    return first.unionByName(table(_tasks(asking.unionByName(asked.select(asking.columns)), near), "links"))
+    asked = asked.where("NOT (asks AND qb = turn)").withColumn("asks", F.lit(False))
+    return asking.unionByName(asked.drop("turn"))
+
+
+def find_links(texts: DataFrame, bands: DataFrame, near: Near) -> DataFrame:
+    """Verified links (u, v) that give the components of ``texts(doc_id, grp, text)`` within each group; ``bands(doc_id, bands)`` has the band keys."""
+    sets = table(texts.select("doc_id", "grp", "text").mapInArrow(_sets(near.words), "doc_id long, grp long, bytes long, shingles binary"), "sets")
+    sizes = table(sets.groupBy("grp").agg(_blocks(F.count("*"), F.sum("bytes"), near).alias("blocks")).where("blocks > 1"), "sizes")
+    large = bounded_broadcast(sizes, BROADCAST_IDS)
+    own = F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))).cast("int")
+    alone = sets.join(large, "grp", "left").select("grp", F.lit(-1).alias("qb"), own.alias("bb"), "doc_id", "shingles", F.col("doc_id").alias("label"), F.lit(True).alias("asks"))
+    first = table(_tasks(alone, near), "links")
+    if sizes.isEmpty():
+        return first
+
+    # Who meets whom is planned on ids; their sets come last.
+    held = sets.join(large, "grp")
+    named = held.groupBy("grp", "doc_id").agg(F.sum("bytes").alias("bytes"))
+    named = named.join(components(first).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+    named = table(named, "named")
+    plan = table(_plan(named, near), "plan")
+    meet = _meetings(named, plan.where(F.col("ask_blocks") <= near.bands))
+    loose = plan.where(F.col("ask_blocks") > near.bands).select("grp")
+    if not loose.isEmpty():
+        buckets = named.join(bounded_broadcast(loose, BROADCAST_IDS), "grp", "left_semi").drop("grp").join(bands, "doc_id")
+        buckets = table(buckets.select("doc_id", "bytes", "label", F.explode("bands").alias("grp")).distinct(), "buckets")
+        meet = meet.unionByName(_meetings(buckets, table(_plan(buckets, near), "plan")))
+    return first.unionByName(table(_tasks(meet.join(held.select("doc_id", "shingles"), "doc_id"), near), "links"))
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
@@ -324,7 +355,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     banded = buckets.join(shared, "band").where("u < rep").select("u", F.col("rep").alias("v"))
     groups = table(components(banded).select(F.col("node").alias("doc_id"), F.col("component").alias("grp")), "groups")
     texts = rows.join(bounded_broadcast(groups, BROADCAST_IDS), "doc_id").select("doc_id", "grp", "text")
-    found = find_links(texts, near)
+    found = find_links(texts, classes.select(F.col("rep").alias("doc_id"), "bands"), near)
     # Classes tie their members to the representative, which verified links tie to others.
     member = some.select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     by_rep = components(found)

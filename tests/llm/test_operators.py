@@ -381,7 +381,8 @@ def test_near_duplicates(docs, empty, near):
     assert kept.columns == docs.columns
 
 
-def test_near_duplicates_of_a_large_group(spark):
+@pytest.mark.parametrize("near", [neardup.Near(block=32), neardup.Near(block=5), neardup.Near(block_bytes=9000)])
+def test_near_duplicates_of_a_large_group(spark, near):
     r = random.Random(8)
     base = prose(r, 80).split()
     rows = []
@@ -391,7 +392,7 @@ def test_near_duplicates_of_a_large_group(spark):
             w[r.randrange(80)] = f"x{r.randrange(10**6)}"
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    same(neardup.near_duplicates(df, neardup.Near(block=32)).collect(), brute_components(rows, 4))
+    same(neardup.near_duplicates(df, near).collect(), brute_components(rows, 4))
 
 
 def test_components(spark):
