@@ -109,7 +109,8 @@ def leaks(docs: DataFrame, bench: DataFrame, m: Match = Match()) -> DataFrame:
     sizes = [r.k for r in items.select("k").distinct().collect()]  # at most m.words
     hit = None
     for k in sizes:
-        keys = bounded_broadcast(shingle_rows.where(F.col("k") == k).select("item", "n", F.col("at").alias("off"), "h"), BROADCAST_ROWS)
+        # A start needs only the item's length and the shingle's place, so items that share an opening count once.
+        keys = bounded_broadcast(shingle_rows.where(F.col("k") == k).select("n", F.col("at").alias("off"), "h").distinct(), BROADCAST_ROWS)
         found = texts.select("doc_id", "tie", F.size("ws").alias("len"), F.posexplode(shingles(F.col("ws"), k)).alias("at", "h")).join(keys, "h")
         # The window that puts the document's shingle where the item has it.
         found = found.select("doc_id", "tie", "len", F.lit(k).alias("k"), "n", (F.col("at") - F.col("off")).alias("start"))
