@@ -92,12 +92,12 @@ def _chunked(cuts: Cuts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and what tells a row apart: ``key``, the id (the largest long for null), and ``tie``, 23 bits of the text's hash."""
+    """doc_id, text, and what tells a row apart: ``key``, the id (the largest long for null), and ``tie``, a 64-bit hash of the text."""
     return docs.select(
         docs["doc_id"].cast("long").alias("doc_id"),
         docs["text"].cast("string").alias("text"),
         F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)).alias("key"),
-        F.pmod(F.xxhash64(docs["text"]), F.lit(1 << 23)).alias("tie"),
+        F.xxhash64(docs["text"].cast("string")).alias("tie"),
     )
 
 
@@ -149,12 +149,10 @@ def dedup(docs: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
     """
     rows = identified(docs)
     found = table(rows.select("key", "tie", "text").mapInArrow(_chunked(cuts), "d1 long, d2 long, key long, tie long, at int, size int"), "chunks")
-    place = F.col("tie") * F.lit(1 << 40) + F.col("at")
-    found = found.select("d1", "d2", "key", place.alias("place"), "size")
     # The minimum is taken before the shuffle too, so a chunk of a third of all texts arrives as a row per task.
-    first = found.groupBy("d1", "d2").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n"))
+    first = found.groupBy("d1", "d2").agg(F.min(F.struct("key", "tie", "at")).alias("first"), F.count("*").alias("n"))
     # Only chunks that occur again; written, so that the join is of plain shuffles, whose hot keys AQE splits.
     first = table(first.where("n > 1").drop("n"), "first")
-    later = found.join(first, ["d1", "d2"]).where(F.struct("key", "place") > F.col("first"))
-    spans = later.select("key", F.shiftrightunsigned("place", 40).alias("tie"), F.expr("cast(place % 1099511627776L as int)").alias("at"), "size").distinct()
+    later = found.join(first, ["d1", "d2"]).where(F.struct("key", "tie", "at") > F.col("first"))
+    spans = later.select("key", "tie", "at", "size").distinct()
     return cut_spans(rows, spans, cuts.min_run, with_text=True)

@@ -88,14 +88,14 @@ def _parsed(p: Parse) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             d = np.frombuffer(b"".join(e), "<i8").reshape(-1, 2)
             cat = lambda x: np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(near, np.uint64).view(np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(ids, pa.int64()), pa.array(ties, pa.int32()), pa.array(cat(los)), pa.array(cat(spans))],
+                [pa.array(np.array(near, np.uint64).view(np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(cat(los)), pa.array(cat(spans))],
                 names=["near", "e1", "e2", "key", "tie", "at", "more"],
             )
 
     return run
 
 
-PARSE_SCHEMA = "near long, e1 long, e2 long, key long, tie int, at int, more int"
+PARSE_SCHEMA = "near long, e1 long, e2 long, key long, tie long, at int, more int"
 
 
 def repeated_starts(phrases: list[bytes], group: np.ndarray, length: int) -> list[np.ndarray]:
@@ -139,7 +139,7 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b - a)) for a, b in zip(edge[::2], edge[1::2])]
 
 
-SPANS = pa.schema([("key", pa.int64()), ("tie", pa.int32()), ("at", pa.int32()), ("size", pa.int32())])
+SPANS = pa.schema([("key", pa.int64()), ("tie", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
 
 
 def _resolved(length: int, most: int = 600_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -188,7 +188,7 @@ def _digests(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             k = len(phrase) - length + 1
             d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(phrase[i : i + length]) for i in range(k)]), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([key] * k, pa.int64()), pa.array([tie] * k, pa.int32()), pa.array(np.arange(at, at + k, dtype=np.int32)), pa.array([n] * k, pa.int64())],
+                [pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([key] * k, pa.int64()), pa.array([tie] * k, pa.int64()), pa.array(np.arange(at, at + k, dtype=np.int32)), pa.array([n] * k, pa.int64())],
                 names=["s1", "s2", "key", "tie", "at", "n"],
             )
 
@@ -214,14 +214,14 @@ def repeated_spans(rows: DataFrame, p: Parse = Parse()) -> DataFrame:
     by_text = asked.groupBy("key", "tie").agg(F.collect_list("c").alias("classes"))  # as bounded as the text
     by_text = table(by_text, "asked")
     # Only ids are broadcast, and only up to a number of them; what is asked of each text meets it in a shuffle.
-    texts = rows.select("key", F.col("tie").cast("int").alias("tie"), "text").join(bounded_broadcast(by_text.select("key", "tie"), BROADCAST_IDS), ["key", "tie"], "left_semi")
+    texts = rows.select("key", "tie", "text").join(bounded_broadcast(by_text.select("key", "tie"), BROADCAST_IDS), ["key", "tie"], "left_semi")
     texts = texts.join(by_text, ["key", "tie"])
-    cut = table(texts.mapInArrow(lambda it: _cut_phrases(p.length, it), "near long, key long, tie int, at int, n long, phrase binary"), "dictionary")
+    cut = table(texts.mapInArrow(lambda it: _cut_phrases(p.length, it), "near long, key long, tie long, at int, n long, phrase binary"), "dictionary")
     small, large = groups.where(F.col("k") <= p.group_rows), groups.where(F.col("k") > p.group_rows)
     ordered = cut.join(small.select("near"), "near").repartition("near").sortWithinPartitions("near")
-    spans = spans.unionByName(ordered.mapInArrow(_resolved(p.length), "key long, tie int, at int, size int"))
+    spans = spans.unionByName(ordered.mapInArrow(_resolved(p.length), "key long, tie long, at int, size int"))
 
-    strings = cut.join(large.select("near"), "near").mapInArrow(lambda it: _digests(p.length, it), "s1 long, s2 long, key long, tie int, at int, n long")
+    strings = cut.join(large.select("near"), "near").mapInArrow(lambda it: _digests(p.length, it), "s1 long, s2 long, key long, tie long, at int, n long")
     counts = strings.groupBy("s1", "s2").agg(F.count("*").alias("m")).where("m > 1").select("s1", "s2")
     alone = strings.where("n = 1").join(counts, ["s1", "s2"], "left_semi").select("key", "tie", "at", F.lit(p.length).alias("size"))
     return spans.unionByName(alone)
@@ -231,9 +231,9 @@ def remove_repeats(docs: DataFrame, p: Parse = Parse(), with_text: bool = False)
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept_text if asked for.
 
     All occurrences go, the first too. Null texts are empty; texts shorter than
-    a string lose nothing. Rows with null or equal ids are told apart by a hash
-    of their text; rows equal in both are occurrences of each other.
+    a string lose nothing. Rows with null or equal ids are told apart by a
+    64-bit hash of their text; rows equal in both are occurrences of each other.
     """
     rows = identified(docs)
-    spans = repeated_spans(rows, p).select("key", F.col("tie").cast("long").alias("tie"), "at", "size")
+    spans = repeated_spans(rows, p)
     return cut_spans(rows, spans, 1, with_text)

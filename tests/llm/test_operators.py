@@ -164,6 +164,22 @@ def test_prefix_free_parse(docs, empty, p):
     assert phrases.remove_repeats(empty, p).count() == 0
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(12)
+    alone, copied = prose(r, 200), prose(r, 200)
+    # Two texts whose hashes agree in their low 23 bits.
+    ends = spark.range(20000).select(F.concat(F.lit(alone + " "), F.col("id").cast("string")).alias("a"), F.concat(F.lit(copied + " "), F.col("id").cast("string")).alias("b"))
+    low = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 23)).alias("low")
+    pair = ends.select("a", low("a")).join(ends.select("b", low("b")), "low").orderBy("low").first()
+    rows = [(None, pair.a), (None, pair.b), (1, pair.b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    p = phrases.Parse()
+    same(phrases.remove_repeats(df, p).collect(), [(i, *x) for (i, _), x in zip(rows, brute_repeats([t for _, t in rows], p.length))])
+    assert {(x.doc_id, x.n_bytes): x.n_removed for x in chunks.dedup(df).collect()} == {(None, len(pair.a.encode())): 0, (None, len(pair.b.encode())): len(pair.b.encode()), (1, len(pair.b.encode())): 0}
+
+
 def test_repeated_starts_by_suffix_array():
     r = random.Random(2)
     parts = [bytes(r.choice(b"ab") for _ in range(r.randrange(1, 60))) for _ in range(30)]
