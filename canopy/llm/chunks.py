@@ -22,12 +22,13 @@ from canopy.llm.common import slices, table
 
 @dataclass(frozen=True)
 class Cuts:
-    min_bytes: int = 32
-    max_bytes: int = 512
+    #: Only whole chunks inside a repeat match, so they are small beside a passage of 50 words (about 300 bytes).
+    min_bytes: int = 16
+    max_bytes: int = 128
     #: A cut falls on one place in 2**mask_bits beyond the minimum.
-    mask_bits: int = 6
+    mask_bits: int = 4
     #: Adjacent repeated chunks go only if together they hold so many bytes.
-    min_run: int = 96
+    min_run: int = 64
 
 
 def _gear() -> np.ndarray:
@@ -149,6 +150,9 @@ def dedup(docs: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
     """
     rows = identified(docs)
     found = table(rows.select("key", "tie", "text").mapInArrow(_chunked(cuts), "d1 long, d2 long, key long, tie long, at int, size int"), "chunks")
+    # Chunks are many and few occur again: half a digest and a count find them, and only they go on with all columns.
+    again = table(found.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"), "again")
+    found = table(found.join(again, "d1", "left_semi"), "repeated")
     # The minimum is taken before the shuffle too, so a chunk of a third of all texts arrives as a row per task.
     first = found.groupBy("d1", "d2").agg(F.min(F.struct("key", "tie", "at")).alias("first"), F.count("*").alias("n"))
     # Only chunks that occur again; written, so that the join is of plain shuffles, whose hot keys AQE splits.

@@ -241,6 +241,19 @@ def test_chunks_resist_shifts():
     assert len(a & b) > 0.97 * len(a)
 
 
+def test_chunks_find_short_passages(spark):
+    r = random.Random(13)
+    rows, share = [], []
+    for i in range(150):
+        passage = prose(r, 50 + i % 11)
+        rows += [(2 * i + k, f"{prose(r, 80)} {passage} {prose(r, 80)}") for k in (0, 1)]
+        share.append(len(passage.encode()))
+    got = {x.doc_id: x.n_removed for x in chunks.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[2 * i] for i in range(150))
+    found = [got[2 * i + 1] / n for i, n in enumerate(share)]
+    assert sum(x == 0 for x in found) <= 5 and sum(x < 0.5 for x in found) <= 12 and sum(found) > 0.65 * 150
+
+
 # ---------------------------------------------------------------- 4
 
 
