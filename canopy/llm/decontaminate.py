@@ -3,8 +3,10 @@
 Windows of a document as long as a benchmark item are fingerprinted with a
 64-bit SimHash over word shingles. Fingerprints are indexed by blocks of bits:
 two that differ in at most ``radius`` bits agree on one of ``radius + 1``
-blocks, so equality of a block finds all of them. Candidates within the radius
-are verified by the exact weighted similarity of their shingles.
+blocks, so equality of a block finds all of them. There are two fingerprints,
+one by the shingles' weights and one by their counts, as weights move bits away
+where items share text. Candidates within the radius by either are verified by
+the exact similarity of their shingles, weighted or plain.
 
 A window without any shingle of a benchmark item has similarity 0 to all of
 them, so only windows on which at least one such shingle lies are
@@ -29,9 +31,9 @@ BROADCAST_ROWS = 1_000_000
 class Match:
     #: Words of a shingle; items with fewer words are one shingle.
     words: int = 5
-    #: Least weighted similarity in hundredths.
+    #: Least similarity in hundredths, weighted or plain.
     percent: int = 80
-    #: A pair of similarity 0.8 differs in 10 of 64 bits on average and in over 20 with probability 1e-4.
+    #: A pair of plain similarity 0.8 differs in 10 of 64 bits on average and in over 20 with probability 1e-4.
     radius: int = 20
     #: Words by which a window's start may be off an aligned one.
     slack: int = 2
@@ -62,17 +64,19 @@ def block_values(fingerprint: Column, radius: int) -> Column:
 
 
 def fingerprints(rows: DataFrame, by: list[str]) -> DataFrame:
-    """SimHash of ``rows(h, w)`` per group: each bit is the sign of the weights that vote for it, minus those against."""
-    bit = lambda b: F.sum(F.when(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1)) == 1, F.col("w")).otherwise(-F.col("w")))
-    votes = rows.groupBy(*by).agg(*[bit(b).alias(f"b{b}") for b in range(64)], F.sum("w").alias("weight"))
+    """Two SimHashes of ``rows(h, w, c)`` per group, by weights (``plain`` is false) and by counts: each bit is the sign of the votes for it, minus those against."""
+    by = [*by, "plain"]
+    rows = rows.withColumn("plain", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("vote", F.when(F.col("plain"), F.col("c")).otherwise(F.col("w")))
+    bit = lambda b: F.sum(F.when(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1)) == 1, F.col("vote")).otherwise(-F.col("vote")))
+    votes = rows.groupBy(*by).agg(*[bit(b).alias(f"b{b}") for b in range(64)], F.sum("w").alias("weight"), F.sum("c").alias("count"))
     value = F.lit(0).cast("long")
     for b in range(64):
         value = value.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return votes.select(*by, value.alias("fingerprint"), "weight")
+    return votes.select(*by, value.alias("fingerprint"), "weight", "count")
 
 
 def benchmark_index(bench: DataFrame, m: Match) -> tuple[DataFrame, DataFrame]:
-    """Items (item, n, k, fingerprint, weight) and their shingles (item, n, k, at, h, w).
+    """Items (item, n, k, plain, fingerprint, weight, count) and their shingles (item, n, k, at, h, w).
 
     ``k`` is the shingle size of the item. A shingle's weight in thousandths
     falls with the number of items that have it. Null and blank items don't
@@ -88,7 +92,7 @@ def benchmark_index(bench: DataFrame, m: Match) -> tuple[DataFrame, DataFrame]:
     df = rows.groupBy("h").agg(F.countDistinct("item").alias("df"))
     rows = rows.join(df, "h").select("item", "n", "k", "at", "h", weight(F.col("df")).alias("w"))
     rows = table(rows, "benchmark")
-    return table(fingerprints(rows, ["item", "n", "k"]), "items"), rows
+    return table(fingerprints(rows.withColumn("c", F.lit(1).cast("long")), ["item", "n", "k"]), "items"), rows
 
 
 def weight(df: Column) -> Column:
@@ -99,6 +103,8 @@ def weight(df: Column) -> Column:
 def leaks(docs: DataFrame, bench: DataFrame, m: Match = Match()) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, start, n_words, hamming, similarity.
 
+    ``similarity`` is the greater of the weighted and the plain one, ``hamming``
+    the lesser distance of the two fingerprints.
     ``start`` is the best window's first word, from 0. Documents shorter than
     an item are one window. Null, empty and blank texts and items match
     nothing; rows of one id (or null ids) are told apart by their text's hash,
@@ -139,14 +145,19 @@ def leaks(docs: DataFrame, bench: DataFrame, m: Match = Match()) -> DataFrame:
     prints = table(fingerprints(parts, key), "fingerprints")
 
     left = prints.select("*", F.explode(block_values(F.col("fingerprint"), m.radius)).alias("block"))
-    right = items.select("item", "n", "k", F.col("fingerprint").alias("item_fingerprint"), F.col("weight").alias("item_weight"), F.explode(block_values(F.col("fingerprint"), m.radius)).alias("block"))
+    right = items.select("item", "n", "k", "plain", F.col("count").alias("item_count"), F.col("fingerprint").alias("item_fingerprint"), F.col("weight").alias("item_weight"), F.explode(block_values(F.col("fingerprint"), m.radius)).alias("block"))
     distance = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint")))
-    close = left.join(bounded_broadcast(right, BROADCAST_ROWS), ["n", "k", "block"]).withColumn("hamming", distance).where(F.col("hamming") <= m.radius).drop("block").distinct()
+    close = left.join(bounded_broadcast(right, BROADCAST_ROWS), ["n", "k", "plain", "block"]).withColumn("hamming", distance).where(F.col("hamming") <= m.radius)
+    totals = ["weight", "count", "item_weight", "item_count"]
+    close = close.groupBy(*key, "item", *totals).agg(F.min("hamming").alias("hamming"))
     item_rows = bounded_broadcast(shingle_rows.groupBy("item", "h").agg(F.count("*").alias("ci")), BROADCAST_ROWS)
-    pairs = close.drop("fingerprint", "item_fingerprint").join(parts.select(*[F.col(c).alias(f"p_{c}") for c in key], "h", "c", "w1"), [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in key]).drop(*[f"p_{c}" for c in key])
-    both = pairs.join(item_rows, ["item", "h"]).groupBy(*key, "item", "hamming", "weight", "item_weight").agg(F.sum(F.col("w1") * F.least("c", "ci")).alias("both"))
+    pairs = close.join(parts.select(*[F.col(c).alias(f"p_{c}") for c in key], "h", "c", "w1"), [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in key]).drop(*[f"p_{c}" for c in key])
+    both = pairs.join(item_rows, ["item", "h"]).groupBy(*key, "item", "hamming", *totals).agg(F.sum(F.col("w1") * F.least("c", "ci")).alias("both"), F.sum(F.least("c", "ci")).alias("same"))
     either = F.col("weight") + F.col("item_weight") - F.col("both")
-    good = both.where(100 * F.col("both") >= m.percent * either).withColumn("similarity", F.col("both").cast("double") / either)
+    # A shingle in no item has full weight, so where items share text an edit weighs more than what it replaces; the plain similarity counts too.
+    plain = F.col("count") + F.col("item_count") - F.col("same")
+    good = both.where((100 * F.col("both") >= m.percent * either) | (100 * F.col("same") >= m.percent * plain))
+    good = good.withColumn("similarity", F.greatest(F.col("both").cast("double") / either, F.col("same").cast("double") / plain))
     best = good.groupBy("doc_id", "tie", "item").agg(F.max(F.struct("similarity", (-F.col("hamming")).alias("near"), (-F.col("start")).alias("early"), "n")).alias("b"))
     return best.select("doc_id", F.col("item.item_id").alias("item_id"), (-F.col("b.early")).cast("long").alias("start"), F.col("b.n").cast("long").alias("n_words"), (-F.col("b.near")).cast("long").alias("hamming"), F.col("b.similarity").alias("similarity"), "tie")
 

@@ -497,6 +497,24 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.leaks(df, bench.limit(0), m).count() == 0
 
 
+def test_decontamination_of_items_that_share_text(spark):
+    r = random.Random(14)
+    twice, passage = prose(r, 60), prose(r, 200)
+    items = [(1, twice), (2, twice)] + [(10 + i, passage + " " + prose(r, 15)) for i in range(10)]
+    rows = []
+    for i, t in items:
+        ws = t.split()
+        for at in (30,) if i < 10 else (60, 130):
+            ws[at] = "edited"
+        rows.append((100 + i, prose(r, 20) + " " + " ".join(ws) + " " + prose(r, 20)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontaminate.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(101, 1), (101, 2), (102, 1), (102, 2), *((100 + i, i) for i in range(10, 20))}
+    assert want <= set(got)
+    # 51 of 61 and 201 of 221 shingles.
+    assert got[101, 2] == pytest.approx(51 / 61) and got[110, 10] == pytest.approx(201 / 221)
+
+
 # ---------------------------------------------------------------- 10
 
 
