@@ -90,11 +90,13 @@ class Ledger:
         return self._fs.exists(self._path(path))
 
     def commit(self, batch_id: int, signed: DataFrame) -> bool:
-        """Add a batch; False, and nothing done, if it or a base that holds it is there already."""
+        """Add a batch; False, and nothing done, if it is there already. An id at or below the base that was never committed raises."""
         if batch_id < 0:
             raise ValueError("batch ids start at 0")
-        if self._exists(self._batch(batch_id)) or batch_id <= self._base():
+        if self._exists(self._batch(batch_id)):  # compaction leaves the batches that the base holds
             return False
+        if batch_id <= self._base():
+            raise ValueError(f"batch {batch_id} was never committed, and later ones are compacted already")
         staged = f"{self.path}/_staging/{uuid.uuid4().hex}"
         # Summed in each task before the shuffle; a hot source is a row per task.
         delta = signed.groupBy(*KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))

@@ -377,6 +377,18 @@ def test_ledger(spark, docs, empty, tmp_path):
     assert book.commit(4, ledger.inserts(ledger.count_tokens(empty, vocabulary("byte_bpe_50k.tiktoken"), P.PATTERN, "v1")))
 
 
+def test_ledger_refuses_a_late_batch(spark, tmp_path):
+    book = ledger.Ledger(spark, f"file://{tmp_path}/late")
+    signed = spark.createDataFrame([("s", "en", "v1", 1, 7)], ledger.DELTA)
+    assert book.commit(4, signed)
+    book.compact()
+    assert not book.commit(4, signed)
+    with pytest.raises(ValueError):
+        book.commit(3, signed)
+    assert book.commit(5, signed)
+    assert [r.n_tokens for r in book.totals().collect()] == [14]
+
+
 # ---------------------------------------------------------------- 7
 
 
