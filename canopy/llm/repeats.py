@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from canopy.llm.common import WORD_RE, slices
+from canopy.llm.common import WORD_RE, kept, slices
 
 
 @dataclass(frozen=True)
@@ -124,8 +124,8 @@ def _dup_lines(text: str) -> int:
     return n
 
 
-COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat", "base_failed", "kept"]
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered long, longest_repeat long, base_failed boolean, kept boolean"
+COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered", "longest_repeat"]
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_covered long, longest_repeat long"
 
 
 def measure(texts: list[str | None], rules: Rules) -> dict[str, np.ndarray]:
@@ -157,6 +157,7 @@ def measure(texts: list[str | None], rules: Rules) -> dict[str, np.ndarray]:
 
 def _measured(rules: Rules) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("repeats", dict)  # nothing; what another operator kept goes
         for b in slices(batches):
             got = measure(b.column(1).to_pylist(), rules)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(got[c]) for c in COLUMNS)], names=["doc_id", *COLUMNS])
@@ -176,6 +177,7 @@ def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def _filtered(rules: Rules, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("repeats", dict)
         for b in slices(batches):
             keep = measure(b.column(at).to_pylist(), rules)["kept"]
             yield b.filter(pa.array(keep))
@@ -184,5 +186,9 @@ def _filtered(rules: Rules, at: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns."""
+    """The rows of ``docs`` that pass, with all their columns.
+
+    Null, empty and blank texts go; ids play no part; equal rows stay or go
+    together; an empty table gives an empty one.
+    """
     return docs.mapInArrow(_filtered(rules, docs.columns.index("text")), docs.schema)
