@@ -176,10 +176,10 @@ def _matrices(costs: Costs) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
         for (block, conv), rows in _parts(batches):
-            item = (conv, matrix([role_state(r[3]) for r in rows], costs))
+            item = (conv, len(rows), matrix([role_state(r[3]) for r in rows], costs))
             found[block] = [found[block][0], item] if block in found else [item]
-        flat = [(b, i, conv, sum(m, [])) for b, items in found.items() for i, (conv, m) in enumerate(items)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())))], names=["block", "at", "conv_id", "m"])
+        flat = [(b, i, conv, n, sum(m, [])) for b, items in found.items() for i, (conv, n, m) in enumerate(items)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in flat], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["block", "at", "conv_id", "n", "m"])
 
     return run
 
@@ -198,11 +198,11 @@ def _entries(costs: Costs, starts: dict[Part, tuple[int, ...]]) -> Callable[[Ite
     return run
 
 
-OUT = "conv_id long, turn long, role string, new_role string, action string, inserted string, appended string, rendered string"
+OUT = "conv_id long, turn long, ordinal long, role string, new_role string, action string, inserted string, appended string, rendered string"
 
 
-def _rendered(costs: Costs, t: Template, known: dict[Part, tuple[tuple[int, ...], int | None, bool, bool]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``known``: for parts of conversations over several blocks, costs before, state after, whether first, whether last."""
+def _rendered(costs: Costs, t: Template, known: dict[Part, tuple[tuple[int, ...], int | None, bool, bool, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``known``: for parts of conversations over several blocks, costs before, state after, whether first, whether last, turns before."""
     names = [x.split()[0] for x in OUT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,12 +211,12 @@ def _rendered(costs: Costs, t: Template, known: dict[Part, tuple[tuple[int, ...]
 
         def batch() -> pa.RecordBatch:
             cols = list(zip(*out)) or [[]] * len(names)
-            rb = pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.string()) for i, c in enumerate(cols)], names=names)
+            rb = pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 3 else pa.string()) for i, c in enumerate(cols)], names=names)
             out.clear()
             return rb
 
         for part, rows in _parts(batches):
-            start, last, is_first, is_last = known.get(part, (BEGIN, None, True, True))
+            start, last, is_first, is_last, before = known.get(part, (BEGIN, None, True, True, 0))
             roles = [role_state(r[3]) for r in rows]
             states = trace(start, roles, last, costs)
             for i, row in enumerate(rows):
@@ -233,7 +233,7 @@ def _rendered(costs: Costs, t: Template, known: dict[Part, tuple[tuple[int, ...]
                     more = end[states[i + 1]][1]
                     s += t.end + "".join(t.empty(q) for q in more)
                 action = "_".join(["merge"] * o.merge + ["relabel"] * o.relabel) or "keep"
-                out.append((row[1], row[2], row[3], STATES[states[i + 1]], action, ",".join(STATES[q] for q in o.inserts), ",".join(STATES[q] for q in more), s))
+                out.append((row[1], row[2], before + i, row[3], STATES[states[i + 1]], action, ",".join(STATES[q] for q in o.inserts), ",".join(STATES[q] for q in more), s))
                 if len(out) >= 4096:
                     yield batch()
         yield batch()
@@ -242,20 +242,23 @@ def _rendered(costs: Costs, t: Template, known: dict[Part, tuple[tuple[int, ...]
 
 
 def repair(turns: DataFrame, costs: Costs = Costs(), template: Template = Template()) -> DataFrame:
-    """One row per row of ``turns(conv_id, turn, role, text)``; the ``rendered`` pieces of a conversation, in order of (turn, role, text), make its text.
+    """One row per row of ``turns(conv_id, turn, role, text)``; the ``rendered`` pieces of a conversation, in the order of ``ordinal`` from 0, make its text (see ``whole_texts``).
 
     ``action`` is keep, relabel, merge or merge_relabel; ``inserted`` and
     ``appended`` name empty turns before a turn and after the last one. Null
     texts are empty; null or unknown roles are relabelled; rows of a null
     conv_id are one conversation; null turns come first; ties are ordered by
-    role and a hash of the text. An empty table gives no rows.
+    role and a hash of the text, and equal rows stand one after the other. A
+    block is a range of the sorted rows, dealt by the number of shuffle
+    partitions: that number must grow with the table. An empty table gives no
+    rows.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
     # The order is total, so a range may end inside a conversation, and one that holds most rows is in many blocks.
     order = ["conv_id", "turn", "role", "tie"]
     rows = table(rows.repartitionByRange(*order).withColumn("block", F.spark_partition_id()), "turns")
     dealt = rows.repartition("block").sortWithinPartitions("block", *order).select("block", "conv_id", "turn", "role", "text")
-    ends = sorted(dealt.mapInArrow(_matrices(costs), "block int, at int, conv_id long, m array<long>").collect(), key=lambda r: (r.block, r.at))  # two rows a block
+    ends = sorted(dealt.mapInArrow(_matrices(costs), "block int, at int, conv_id long, n long, m array<long>").collect(), key=lambda r: (r.block, r.at))  # two rows a block
     chains: list[list] = []
     for r in ends:
         if chains and chains[-1][-1].conv_id == r.conv_id and chains[-1][-1].block != r.block:
@@ -263,14 +266,17 @@ def repair(turns: DataFrame, costs: Costs = Costs(), template: Template = Templa
         else:
             chains.append([r])
     chains = [c for c in chains if len(c) > 1]
-    known: dict[Part, tuple[tuple[int, ...], int | None, bool, bool]] = {}
+    known: dict[Part, tuple[tuple[int, ...], int | None, bool, bool, int]] = {}
     if chains:
         starts: dict[Part, tuple[int, ...]] = {}
+        before: dict[Part, int] = {}
         final: list[tuple[int, ...]] = []
         for chain in chains:
             v: tuple[int, ...] = BEGIN
+            turns_so_far = 0
             for r in chain:
-                starts[r.block, r.conv_id] = v
+                starts[r.block, r.conv_id], before[r.block, r.conv_id] = v, turns_so_far
+                turns_so_far += r.n
                 v = apply(v, [r.m[4 * s : 4 * s + 4] for s in range(4)])
             final.append(v)
         entry = {(r.block, r.conv_id): r.entry for r in dealt.mapInArrow(_entries(costs, starts), "block int, conv_id long, entry array<long>").collect()}
@@ -278,6 +284,16 @@ def repair(turns: DataFrame, costs: Costs = Costs(), template: Template = Templa
             last = best_end(v, costs)
             for r in reversed(chain):
                 part = (r.block, r.conv_id)
-                known[part] = (starts[part], last, r is chain[0], r is chain[-1])
+                known[part] = (starts[part], last, r is chain[0], r is chain[-1], before[part])
                 last = entry[part][last]
     return dealt.mapInArrow(_rendered(costs, template, known), OUT)
+
+
+def whole_texts(repaired: DataFrame, turns: int = 10_000) -> DataFrame:
+    """conv_id, part, text: the rendered conversations, ``turns`` turns to a part, so that one of any length is never a single cell.
+
+    The parts of a conversation in order, from 0, are its text; all but very long ones have one.
+    """
+    part = F.floor(F.col("ordinal") / turns).cast("long")
+    pieces = F.array_sort(F.collect_list(F.struct("ordinal", "rendered")))
+    return repaired.groupBy("conv_id", part.alias("part")).agg(pieces.alias("p")).select("conv_id", "part", F.array_join(F.transform("p", lambda x: x["rendered"]), "").alias("text"))
