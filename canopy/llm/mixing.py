@@ -1,7 +1,7 @@
 """Mixing sources to target weights with DataFrame operations only.
 
 Every document is emitted ``floor(rate)`` times plus one Bernoulli copy, seeded
-by a hash of its id, whose probability is the rate's fraction; the rate of a
+by a hash of its id and text, whose probability is the rate's fraction; the rate of a
 source is its target size over its size.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.llm.common import WORD_JAVA, bounded_broadcast
+from canopy.llm.common import WORD_JAVA, bounded_broadcast, table
 
 #: Weights of the sources in code point order (null last), repeating.
 WEIGHTS = (5, 2, 1)
@@ -55,31 +55,51 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return per.select("source", "source_size", "weight", target.alias("target"))
 
 
-def uniform(doc_id: Column, seed: int) -> Column:
-    """A number in [0, 1) that depends on the id and the seed alone: 48 bits of an MD5 digest."""
-    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}"))
+def uniform(doc_id: Column, text: Column, seed: int) -> Column:
+    """A number in [0, 1) that depends on id, text and seed alone: 48 bits of an MD5 digest."""
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}:"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
     return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
 
 
+def copies(source_size: Column, target: Column, draw: Column) -> Column:
+    """``floor(rate)`` copies, and one more if the draw is below the rate's fraction; none of a source without words."""
+    rate = F.when(source_size > 0, target / source_size).otherwise(F.lit(0.0))
+    whole = F.floor(rate)
+    return (whole + (draw < rate - whole).cast("long")).cast("long")
+
+
 def planned(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """All columns of ``docs`` plus mix_size, mix_source_size, mix_target, mix_copies.
+    """doc_id, source, size, source_size, target, copies and taken for each row of ``docs``.
 
-    Null or empty texts have size 0; a source of size 0 has target 0 and its
-    documents get no copy. Rows with one id draw the same number.
+    Words are counted once: what the plan needs of each row is written without
+    its text. Null or empty texts have size 0; a source of size 0 has target 0
+    and its documents get no copy. Rows equal in id and text draw the same
+    number. An empty table gives no rows.
     """
-    # Names of its own, so that columns of the input never clash.
-    base = docs.withColumns({"mix_size": n_words(docs["text"])})
-    per = source_targets(base.select("source", F.col("mix_size").alias("size")), weights, max_epochs)
-    per = per.select(F.col("source").alias("mix_key"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    out = base.join(bounded_broadcast(per, BROADCAST_SOURCES), base["source"].eqNullSafe(per["mix_key"])).drop("mix_key")
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate)
-    copies = whole + (uniform(F.col("doc_id"), seed) < rate - whole).cast("long")
-    return out.withColumn("mix_copies", copies.cast("long"))
+    rows = table(docs.select("doc_id", "source", n_words(docs["text"]).alias("size"), uniform(docs["doc_id"], docs["text"], seed).alias("draw")), "sizes")
+    per = table(source_targets(rows, weights, max_epochs), "targets").withColumnRenamed("source", "named")
+    out = rows.join(bounded_broadcast(per, BROADCAST_SOURCES), rows["source"].eqNullSafe(per["named"]))
+    out = out.withColumn("copies", copies(F.col("source_size"), F.col("target"), F.col("draw")))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The mixed table: each row of ``docs`` as often as planned, with its columns unchanged."""
-    out = planned(docs, seed, weights, max_epochs)
-    copies = F.explode(F.sequence(F.lit(1), F.col("mix_copies")))
-    return out.where("mix_copies > 0").withColumn("mix_copy", copies).select(*docs.columns)
+    """The mixed table: each row of ``docs`` as often as planned, with its columns unchanged, whatever their names.
+
+    Draws and rates are those of ``planned``. A row that is taken more than once
+    stands there as equal rows. An empty table gives an empty one.
+    """
+    per = table(source_targets(docs.select("source", n_words(docs["text"]).alias("size")), weights, max_epochs), "targets")
+    named, total, target, copy = (free_name(docs, x) for x in ("named", "total", "target", "copy"))
+    per = per.select(F.col("source").alias(named), F.col("source_size").alias(total), F.col("target").alias(target))
+    out = docs.join(bounded_broadcast(per, BROADCAST_SOURCES), docs["source"].eqNullSafe(per[named]))
+    n = copies(F.col(total), F.col(target), uniform(docs["doc_id"], docs["text"], seed))
+    return out.withColumn(copy, n).where(F.col(copy) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
