@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.common import slices
+from canopy.llm.common import kept, slices
 
 KEYS = ["source", "lang", "tokenizer"]
 DELTA = "source string, lang string, tokenizer string, d_docs long, d_tokens long"
@@ -32,23 +32,25 @@ def _counted(ranks_path: str, pattern: str) -> object:
     return run
 
 
-_ENCODINGS: dict[str, object] = {}
-
-
 def _encoding(ranks_path: str, pattern: str):
     import base64
 
     import tiktoken
 
-    if ranks_path not in _ENCODINGS:
+    def load():
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f)}
-        _ENCODINGS[ranks_path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[ranks_path]
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    return kept(f"ranks {ranks_path}", load)
 
 
 def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, tokenizer: str) -> DataFrame:
-    """doc_id, source, lang, tokenizer, n_tokens for each row; null and empty texts have 0 tokens."""
+    """doc_id, source, lang, tokenizer, n_tokens for each row; null and empty texts have 0 tokens.
+
+    Rows are counted one by one, equal rows each; a null source or language is
+    a key of its own; an empty table gives no rows.
+    """
     rows = docs.select(*(F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("source", "string"), ("lang", "string"), ("text", "string"))))
     counted = rows.mapInArrow(_counted(ranks_path, pattern), "doc_id long, source string, lang string, n_tokens long")
     return counted.withColumn("tokenizer", F.lit(tokenizer))
