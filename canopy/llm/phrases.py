@@ -7,7 +7,9 @@ trigger make one phrase: the bytes from the first start to the end of the last
 string. The distinct phrases are the dictionary, and a document is parsed into
 a sequence of them.
 
-* A phrase that occurs again makes all its starts repeated.
+* A phrase that occurs again makes all its starts repeated. Where a text repeats
+  a few bytes over and over, its equal neighbouring phrases are one row of the
+  parse, with their number.
 * A phrase whose bytes just after the trigger occur nowhere else has none.
 * The remaining phrases are grouped by those bytes. In each group a suffix
   array of the dictionary's phrases, ordered to ``length`` bytes, shows which
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.chunks import cut_spans, gear_hashes, identified
-from canopy.llm.common import bounded_broadcast, slices, table
+from canopy.llm.common import bounded_broadcast, kept, slices, table
 
 #: Documents whose ids may be broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -74,28 +76,37 @@ def triggers(data: np.ndarray, p: Parse) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def _parsed(p: Parse) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("phrases", dict)  # nothing; what another operator kept goes
         for b in slices(batches):
-            ids, ties, los, spans, near, e = [], [], [], [], [], []
+            ids, ties, los, spans, upto, reps, near, e = [], [], [], [], [], [], [], []
             for key, tie, text in zip(*(c.to_pylist() for c in b.columns)):
                 data = text.encode() if text else b""
                 lo, hi, at = triggers(np.frombuffer(data, np.uint8), p)
-                ids += [key] * len(lo)
-                ties += [tie] * len(lo)
-                los.append(lo)
-                spans.append(hi - lo)
-                near += [xxhash.xxh3_64_intdigest(data[m : m + p.after]) for m in at.tolist()]
-                e += [xxhash.xxh3_128_digest(data[x : y + p.length]) for x, y in zip(lo.tolist(), hi.tolist())]
+                if not len(lo):
+                    continue
+                digests = [xxhash.xxh3_128_digest(data[x : y + p.length]) for x, y in zip(lo.tolist(), hi.tolist())]
+                first = [0, *(i for i in range(1, len(digests)) if digests[i] != digests[i - 1])]
+                last = [*(i - 1 for i in first[1:]), len(digests) - 1]
+                ids += [key] * len(first)
+                ties += [tie] * len(first)
+                los.append(lo[first])
+                spans.append(hi[first] - lo[first])
+                upto.append(hi[last] - lo[first])
+                reps.append(np.array(last) - first + 1)
+                near += [xxhash.xxh3_64_intdigest(data[m : m + p.after]) for m in at[first].tolist()]
+                e += [digests[i] for i in first]
             d = np.frombuffer(b"".join(e), "<i8").reshape(-1, 2)
             cat = lambda x: np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(near, np.uint64).view(np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), pa.array(cat(los)), pa.array(cat(spans))],
-                names=["near", "e1", "e2", "key", "tie", "at", "more"],
+                [pa.array(np.array(near, np.uint64).view(np.int64)), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(ids, pa.int64()), pa.array(ties, pa.int64()), *(pa.array(cat(x)) for x in (los, spans, upto, reps))],
+                names=["near", "e1", "e2", "key", "tie", "at", "more", "upto", "reps"],
             )
 
     return run
 
 
-PARSE_SCHEMA = "near long, e1 long, e2 long, key long, tie long, at int, more int"
+#: ``at`` is the first start, ``more`` the starts after it in one phrase, ``upto`` those to the end of the run of ``reps`` equal phrases.
+PARSE_SCHEMA = "near long, e1 long, e2 long, key long, tie long, at int, more int, upto int, reps int"
 
 
 def repeated_starts(phrases: list[bytes], group: np.ndarray, length: int) -> list[np.ndarray]:
@@ -198,13 +209,13 @@ def repeated_spans(rows: DataFrame, p: Parse = Parse()) -> DataFrame:
     parsed = table(rows.where(F.octet_length("text") >= p.length).select("key", "tie", "text").mapInArrow(_parsed(p), PARSE_SCHEMA), "parse")
     # Counts are made before the shuffle too: a phrase of a third of all texts arrives as a row per task.
     # Written, so that the join is of plain shuffles, whose hot keys AQE splits.
-    near = table(parsed.groupBy("near").agg(F.count("*").alias("rows"), (F.min("e1") != F.max("e1")).alias("mixed")).where("rows > 1").select("near", "mixed"), "near")
+    near = table(parsed.groupBy("near").agg(F.sum("reps").alias("rows"), (F.min("e1") != F.max("e1")).alias("mixed")).where("rows > 1").select("near", "mixed"), "near")
     hits = table(parsed.join(near, "near"), "hits")
-    whole = lambda df: df.select("key", "tie", "at", (F.col("more") + F.lit(p.length)).cast("int").alias("size"))
+    whole = lambda df: df.select("key", "tie", "at", (F.col("upto") + F.lit(p.length)).cast("int").alias("size"))
     spans = whole(hits.where("NOT mixed"))
 
     mixed = hits.where("mixed")
-    classes = table(mixed.groupBy("near", "e1", "e2").agg(F.count("*").alias("n"), F.min(F.struct("key", "tie", "at", "more")).alias("one")), "classes")
+    classes = table(mixed.groupBy("near", "e1", "e2").agg(F.sum("reps").alias("n"), F.min(F.struct("key", "tie", "at", "more")).alias("one")), "classes")
     repeated = classes.where("n > 1").select("near", "e1", "e2")
     spans = spans.unionByName(whole(mixed.join(repeated, ["near", "e1", "e2"], "left_semi")))
 
