@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import slices, table
+from canopy.llm.common import kept, slices, table
 
 
 @dataclass(frozen=True)
@@ -27,8 +28,8 @@ class Cuts:
     max_bytes: int = 128
     #: A cut falls on one place in 2**mask_bits beyond the minimum.
     mask_bits: int = 4
-    #: Adjacent repeated chunks go only if together they hold so many bytes.
-    min_run: int = 64
+    #: Adjacent repeated chunks go only if together they hold so many bytes: over half of such a passage, more than a common line.
+    min_run: int = 176
 
 
 def _gear() -> np.ndarray:
@@ -70,7 +71,7 @@ def cut_points(data: bytes, cuts: Cuts) -> list[int]:
 
 def _chunked(cuts: Cuts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blake = hashlib.blake2b
+        kept("chunks", dict)  # nothing; what another operator kept goes
         for b in slices(batches):
             ids, ties, at, size, digests = [], [], [], [], []
             for doc_id, tie, text in zip(*(c.to_pylist() for c in b.columns)):
@@ -81,7 +82,7 @@ def _chunked(cuts: Cuts) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     ties.append(tie)
                     at.append(start)
                     size.append(end - start)
-                    digests.append(blake(data[start:end], digest_size=16).digest())
+                    digests.append(xxhash.xxh3_128_digest(data[start:end]))
                     start = end
             d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
@@ -152,7 +153,7 @@ def dedup(docs: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
     found = table(rows.select("key", "tie", "text").mapInArrow(_chunked(cuts), "d1 long, d2 long, key long, tie long, at int, size int"), "chunks")
     # Chunks are many and few occur again: half a digest and a count find them, and only they go on with all columns.
     again = table(found.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"), "again")
-    found = table(found.join(again, "d1", "left_semi"), "repeated")
+    found = table(found.join(again, "d1", "left_semi"), "repeated")  # the table of all chunks isn't read again
     # The minimum is taken before the shuffle too, so a chunk of a third of all texts arrives as a row per task.
     first = found.groupBy("d1", "d2").agg(F.min(F.struct("key", "tie", "at")).alias("first"), F.count("*").alias("n"))
     # Only chunks that occur again; written, so that the join is of plain shuffles, whose hot keys AQE splits.
