@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.common import ascii_lower, bounded_broadcast, components, slices, table, words_of
+from canopy.llm.common import ascii_lower, bounded_broadcast, components, kept, slices, table, words_of
 
 #: Documents whose ids may be broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -73,15 +73,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-_WORDS: dict[str, int] = {}
+#: Words whose hashes a worker remembers, in about 200 bytes each.
+CACHE_WORDS = 200_000
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
     """64-bit hashes of words; a bounded cache keeps frequent ones."""
     import xxhash
 
-    known = _WORDS
-    if len(known) > 400_000:
+    known: dict[str, int] = kept("words", dict)
+    if len(known) > CACHE_WORDS:
         known.clear()
     out = [known.get(w) for w in words]
     for i, h in enumerate(out):
@@ -213,7 +214,7 @@ def links(ids: list[int], sets: list[np.ndarray], label: list[int], asks: np.nda
     sig = signatures(sets, near.hashes)
     keys = band_keys(sig, near.rows)
     sizes = np.array([len(s) for s in sets])
-    # Banded candidates: in each band, documents sorted by key, runs of equal keys; as a matrix for the task's few documents.
+    # Banded candidates: a task has a few hundred documents, so all their keys are compared at once, some rows at a time.
     rows = []
     step = max(1, 4_000_000 // max(1, n * near.bands))
     for lo in range(0, n, step):
@@ -373,6 +374,10 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, near: Near = Near(words=5)) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each group of near duplicates the least id."""
+    """The rows of ``docs`` that stay, with all their columns: of each group of near duplicates the least id.
+
+    Rows without id or without words stay; rows of one id stay or go together;
+    an empty table gives an empty one.
+    """
     gone = near_duplicates(docs, near).where("NOT kept").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
