@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Our own bit layout.
+# The platform's published bits, from 1 up; journals are read as they are.
 FLAGS = {
     name: 1 << i
     for i, name in enumerate(
-        "created removed renamed modified inode_meta xattr finder_info owner is_file is_dir is_symlink own_event "
-        "hardlink last_hardlink cloned must_scan user_dropped kernel_dropped ids_wrapped root_changed history_done mount unmount".split()
+        "must_scan user_dropped kernel_dropped ids_wrapped history_done root_changed mount unmount created removed inode_meta renamed "
+        "modified finder_info owner xattr is_file is_dir is_symlink own_event hardlink last_hardlink cloned".split()
     )
 }
 KNOWN = (1 << len(FLAGS)) - 1
@@ -26,7 +26,9 @@ def bits(*names: str) -> int:
 TYPES = bits("is_file", "is_dir", "is_symlink")
 CONTENT = bits("modified", "inode_meta", "xattr", "finder_info", "owner")
 LOST = bits("user_dropped", "kernel_dropped", "ids_wrapped", "root_changed")
-SPECIAL = LOST | bits("must_scan", "history_done", "mount", "unmount")
+#: What can tell of a change of sizes or times, and what can't unless the object's type is unknown.
+WRITES = bits("created", "removed", "renamed", "modified", "inode_meta")
+ANCILLARY = bits("xattr", "finder_info", "owner", "own_event", "hardlink", "last_hardlink", "cloned")
 #: Ids that say nothing about order.
 UNRELIABLE_LOW, UNRELIABLE_HIGH = 0, 2**63 - 1
 
@@ -69,24 +71,25 @@ def classify(flags: Column) -> Column:
 
 
 def impact(flags: Column) -> Column:
-    """What an event means for sizes and times."""
+    """What an event means for sizes and times, apart from what it means for names."""
     f = flags
     return (
         F.when(any_of(f, LOST | bits("mount", "unmount")), "invalidated")
-        .when(any_of(f, FLAGS["must_scan"]) | unknown_bits(f) | all_of(f, bits("created", "removed")), "reconcile_parent")
+        .when(any_of(f, FLAGS["must_scan"]), "reconcile_parent")
         .when(any_of(f, FLAGS["history_done"]), "none")
-        .when(any_of(f, FLAGS["renamed"]), "reconcile_parent")
+        .when(unknown_bits(f) | all_of(f, bits("created", "removed")), "reconcile_parent")
         .when(any_of(f, FLAGS["removed"]), "remove")
-        .when(~any_of(f, CONTENT | FLAGS["created"]), "none")
-        .when(~one_type(f), "reconcile_parent")
-        .when(any_of(f, bits("is_dir", "is_symlink")), "refresh_time")
-        .otherwise("refresh_size_and_time")
+        .when(any_of(f, WRITES), F.when(any_of(f, bits("is_dir", "is_symlink")), "refresh_time").otherwise("refresh_size_and_time"))
+        .when(any_of(f, ANCILLARY) & ~any_of(f, TYPES), "reconcile_parent")  # may hide that a name came to be
+        .otherwise("none")
     )
 
 
 def is_ordinary(flags: Column) -> Column:
-    """Creates, removals, content changes and pure renames; only these may be skipped in a replay."""
-    return ~any_of(flags, SPECIAL) & ~unknown_bits(flags) & any_of(flags, CONTENT | bits("created", "removed", "renamed"))
+    """Simple creates and removals, content changes of a known type and pure renames; only these may be skipped in a replay."""
+    kind = classify(flags)
+    rename_only = any_of(flags, FLAGS["renamed"]) & (flags.bitwiseAND(F.lit(~(FLAGS["renamed"] | TYPES)).cast("long")) == 0)
+    return kind.startswith("simple_") | (kind == "content_only") | rename_only
 
 
 def is_replayed(flags: Column, event_id: Column, floor: int) -> Column:
@@ -103,3 +106,21 @@ def failure_policy(error: Column, at_root: Column) -> Column:
         .when(error.isin("ENOENT", "ENOTDIR", "ELOOP", "EXDEV"), "retry_parent")
         .otherwise("rebuild")
     )
+
+
+def concerns(path: Column, flags: Column, root: str, excluded: list[str]) -> Column:
+    """Whether an event belongs to a root: it is within it, and not in an excluded folder unless it carries a special bit."""
+    from canopy.functions.paths import is_within
+
+    own = F.lit(False)
+    for x in excluded:
+        own = own | is_within(path, F.lit(x))
+    special = any_of(flags, LOST | bits("must_scan", "history_done", "mount", "unmount"))
+    return is_within(path, F.lit(root)) & (special | ~own)
+
+
+def rooted(path: Column, flags: Column, root: str) -> Column:
+    """Paths as the source tells them: device-relative ones get the root before them, and lost history concerns the root itself."""
+    base = "" if root == "/" else root
+    full = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(base + "/"), path))
+    return F.when(any_of(flags, LOST | FLAGS["history_done"]), F.lit(root)).otherwise(full)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from canopy.functions import events as ev
 from canopy.functions import paths
 from canopy.operators.tree import minimal_roots, outside
+from canopy.sources.work import work_table
 
 STORM = 256
 COLLAPSE = 512
@@ -44,7 +45,8 @@ def plan_batch(events: DataFrame, floor: int = 0, storm: int = STORM) -> dict[st
     * ``patches``: creates and removes outside all scopes, hints to be held
       against current truth. In a storm there are none, only parents.
     """
-    rows = after_floor(events, floor).withColumn("class", ev.classify(F.col("flags")))
+    # Written, as a batch is read by each of the rules below.
+    rows = work_table(after_floor(events, floor).withColumn("class", ev.classify(F.col("flags"))), "batch")
     rebuild = rows.where("class = 'invalidated'")
     parent = paths.parent(F.col("path"))
     subtree = rows.where("class = 'subtree_dirty'").select(F.col("path").alias("root"))
@@ -59,7 +61,7 @@ def plan_batch(events: DataFrame, floor: int = 0, storm: int = STORM) -> dict[st
     roots = subtree.unionByName(unclear).unionByName(clash).unionByName(stale)
     if names.limit(storm + 1).count() > storm:
         roots = roots.unionByName(simple.select(parent.alias("root")))
-    scopes = minimal_roots(roots, "root").select(F.col("path").alias("root"))
+    scopes = work_table(minimal_roots(work_table(roots.distinct(), "roots"), "root").select(F.col("path").alias("root")), "scopes")
     scopes = scopes.join(subtree.distinct().withColumn("subtree", F.lit(True)), "root", "left").withColumn("subtree", F.coalesce("subtree", F.lit(False)))
     patches = outside(simple.withColumn("_scope", parent), scopes.select("root"), "_scope").drop("_scope")
     patches = patches.groupBy("path").agg(F.max_by("class", "id").alias("class"), F.max("id").alias("id"))

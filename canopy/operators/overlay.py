@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions import paths
+from canopy.operators.tree import root_devices
+from canopy.sources.work import work_table
 
 KEY = ["volume", "path"]
 
@@ -32,11 +34,16 @@ def subtree_tombstones(base: DataFrame, removed: DataFrame) -> DataFrame:
     return base.join(hit.select(*KEY).distinct(), KEY, "left_semi")
 
 
-def replaced_directories(base: DataFrame, upserts: DataFrame) -> DataFrame:
-    """Directories that an upsert turns into something else or into another directory (by file id)."""
-    new = upserts.select(*KEY, F.col("kind").alias("new_kind"), F.col("file_id").alias("new_id"))
-    old = base.where("kind = 'directory'").join(new, KEY)
-    return old.where((F.col("new_kind") != "directory") | ~F.col("file_id").eqNullSafe(F.col("new_id"))).select(*KEY)
+IDENTITY = ("device_id", "file_id", "is_mount_point")
+
+
+def same_directory(a: str, b: str, columns: list[str]) -> Column:
+    """Whether two structs are one directory: both are directories of equal device, file id and mount state, as far as there are such columns."""
+    same = (F.col(f"{a}.kind") == "directory") & (F.col(f"{b}.kind") == "directory")
+    for c in IDENTITY:
+        if c in columns:
+            same = same & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return same
 
 
 @dataclass
@@ -46,31 +53,96 @@ class Applied:
     delta: DataFrame
 
 
-def apply_mutations(base: DataFrame, mutations: DataFrame) -> Applied:
-    """A batch of ``mutations(op, seq, *base columns)`` with op upsert or remove.
+def _kills(touched: DataFrame, ops: DataFrame, columns: list[str]) -> DataFrame:
+    """(volume, root, seq, own) of what ends all that is below ``root`` before ``seq``: removals (``own``: the root too), and upserts of something else than was there."""
+    rows = touched.select(*KEY, F.lit(-1).cast("long").alias("seq"), F.lit("upsert").alias("op"), F.struct(*columns).alias("now"))
+    rows = rows.unionByName(ops.select(*KEY, F.col("seq").cast("long").alias("seq"), "op", F.struct(*columns).alias("now")))
+    w = Window.partitionBy(*KEY).orderBy("seq")  # the mutations of one path
+    rows = rows.withColumn("before", F.lag(F.struct("op", F.col("now").alias("was"))).over(w)).withColumn("was", F.col("before.was"))
+    other = (F.col("op") == "upsert") & (F.col("before.op") == "upsert") & ~same_directory("was", "now", columns)
+    return rows.where((F.col("op") == "remove") | other).select("volume", F.col("path").alias("root"), "seq", (F.col("op") == "remove").alias("own"))
 
-    The last mutation of a path decides. A removal takes the subtree; so does a
-    directory that is replaced. Roots (``/``) stay. An upsert needs a live
-    directory as its parent, in the base or in the batch. Nothing changes for
-    an upsert equal to the live row.
+
+def apply_mutations(base: DataFrame, mutations: DataFrame) -> Applied:
+    """A batch of ``mutations(op, seq, *base columns)`` with op upsert or remove, as if applied one by one in the order of ``seq``.
+
+    A removal ends the subtree as it is then; so does an upsert that puts
+    something else in a directory's place. Roots (``/``) stay. An upsert needs a
+    live directory as its parent at its time, in the base or from the batch, that
+    is no mount point and on the root's device (where there are such columns);
+    else it is ignored, and what is below it too. Nothing changes for an upsert
+    equal to the live row.
     """
-    last = last_per_path(mutations.where("path <> '/'"))
-    removes = last.where("op = 'remove'").select(*KEY)
-    upserts = last.where("op = 'upsert'").select(*base.columns)
-    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"u.{c}")) for c in base.columns]
-    unchanged = upserts.alias("u").join(base.alias("b"), [F.col("u.volume") == F.col("b.volume"), F.col("u.path") == F.col("b.path")])
-    keep = same[0]
-    for s in same[1:]:
-        keep = keep & s
-    unchanged = unchanged.where(keep).select("u.volume", "u.path")
-    upserts = upserts.join(unchanged, KEY, "left_anti")
-    roots = removes.unionByName(replaced_directories(base, upserts)).distinct()
-    tombstones = subtree_tombstones(base, roots)
-    live = base.join(tombstones.select(*KEY), KEY, "left_anti")
-    parent = paths.parent(F.col("path"))
-    folders = live.where("kind = 'directory'").select("volume", F.col("path").alias("_parent")).unionByName(upserts.where("kind = 'directory'").select("volume", F.col("path").alias("_parent"))).distinct()
-    delta = upserts.withColumn("_parent", parent).join(folders, ["volume", "_parent"], "left_semi").select(*base.columns)
-    return Applied(merged(base, tombstones, delta), tombstones, delta)
+    columns = base.columns
+    ops = mutations.where("path <> '/'").withColumn("seq", F.col("seq").cast("long"))
+    ops = work_table(ops.where(paths.normalize(F.col("path")).eqNullSafe(F.col("path"))), "mutations")
+    touched = base.join(ops.select(*KEY).distinct(), KEY, "left_semi")
+    kills = work_table(_kills(touched, ops, columns), "kills")
+    roots = kills.groupBy("volume", "root").agg(F.max("seq").alias("below"), F.max(F.when(F.col("own"), F.col("seq"))).alias("self"))
+
+    def last_end(rows: DataFrame) -> DataFrame:
+        """When each path was last ended from above or by its own removal."""
+        up = rows.select(*KEY).distinct().select(*KEY, F.explode(paths.ancestors(F.col("path"), proper=False)).alias("root"))
+        hit = up.join(roots, ["volume", "root"])
+        return hit.groupBy(*KEY).agg(F.max(F.when(F.col("root") == F.col("path"), F.col("self")).otherwise(F.col("below"))).alias("ended")).where("ended IS NOT NULL")
+
+    tombstones = work_table(base.where("path <> '/'").join(last_end(base), KEY, "left_semi"), "tombstones")
+    kept = base.join(tombstones.select(*KEY), KEY, "left_anti")
+    ended = last_end(ops)
+    upserts = ops.where("op = 'upsert'").join(ended, KEY, "left").where("ended IS NULL OR seq > ended")
+    wanted = upserts.groupBy(*KEY).agg(F.max_by(F.struct(*columns), "seq").alias("row"), F.sort_array(F.collect_set("seq")).alias("seqs"))  # the mutations of one path
+    in_base = kept.join(wanted.select(*KEY), KEY, "left_semi").select(*KEY, F.lit(True).alias("stays"))
+    wanted = work_table(wanted.join(in_base, KEY, "left").withColumn("up", paths.parent(F.col("path"))), "wanted")
+
+    def parents(rows: DataFrame, start: Column) -> DataFrame:
+        """Directories that may hold children, with the time from which they do."""
+        rows = rows.where("kind = 'directory'")
+        if "is_mount_point" in columns:
+            rows = rows.where(~F.coalesce("is_mount_point", F.lit(False)) | (F.col("path") == "/"))
+        if "device_id" in columns:
+            rows = rows.join(root_devices(base), "volume", "left").where(F.coalesce("device_id", F.lit(0)).isin(0) | F.coalesce(F.col("device_id") == F.col("_root_device"), F.lit(True)))
+        return rows.select("volume", F.col("path").alias("up"), start.alias("start"))
+
+    # Upserts whose parent is in the base come first, then level by level those below what the batch brings.
+    folders = parents(kept.join(wanted.select(*KEY), KEY, "left_anti"), F.lit(-1).cast("long"))
+    accepted, pending = None, wanted
+    while True:
+        first = F.when(F.col("stays"), F.lit(-1).cast("long")).otherwise(F.get(F.filter("seqs", lambda x: x > F.col("start")), F.lit(0)))
+        new = pending.join(folders, ["volume", "up"]).withColumn("since", first).where("since IS NOT NULL").select("volume", "up", "path", "row", "seqs", "stays", "since")
+        new = work_table(new, "accepted")
+        accepted = new if accepted is None else accepted.unionByName(new)
+        pending = pending.join(new.select(*KEY), KEY, "left_anti")
+        folders = parents(new.select("row.*", "since"), F.col("since"))
+        if new.where("row.kind = 'directory'").isEmpty():
+            break
+    delta = accepted.select("row.*")
+    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"u.{c}")) for c in columns]
+    equal = same[0]
+    for x in same[1:]:
+        equal = equal & x
+    there = [F.col("u.volume") == F.col("b.volume"), F.col("u.path") == F.col("b.path")]
+    unchanged = delta.alias("u").join(kept.alias("b"), there).where(equal).select("u.volume", "u.path")
+    delta = work_table(delta.join(unchanged, KEY, "left_anti").select(*columns), "delta")
+    return Applied(kept.join(delta.select(*KEY), KEY, "left_anti").unionByName(delta), tombstones, delta)
+
+
+#: A batch beyond these needs a rebuild rather than an overlay.
+MAX_ROWS, MAX_BYTES, MAX_SUBTREE = 500_000, 128 * 2**20, 100_000
+
+
+def overlay_size(delta: DataFrame) -> DataFrame:
+    """One row: rows and estimated bytes of an overlay."""
+    each = F.lit(192) + 2 * F.octet_length("path") + F.octet_length("name") + F.octet_length("folded")
+    return delta.agg(F.count("*").alias("rows"), F.coalesce(F.sum(each), F.lit(0)).cast("long").alias("bytes"))
+
+
+def overflow(delta: DataFrame, tombstones: DataFrame, removed: DataFrame) -> DataFrame:
+    """One row: whether the overlay is beyond its limits, or one removal takes more rows than an overlay may (``removed`` has the paths)."""
+    up = tombstones.select("volume", F.explode(paths.ancestors(F.col("path"), proper=False)).alias("root"))
+    widest = up.join(removed.select("volume", F.col("path").alias("root")).distinct(), ["volume", "root"]).groupBy("volume", "root").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("subtree"))
+    both = overlay_size(delta).crossJoin(widest)  # of one row each
+    over = (F.col("rows") >= MAX_ROWS) | (F.col("bytes") >= MAX_BYTES)
+    return both.select("rows", "bytes", "subtree", over.alias("full"), (over | (F.col("subtree") > MAX_SUBTREE)).alias("rebuild"))
 
 
 def ordered_diff(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:

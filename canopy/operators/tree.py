@@ -5,11 +5,12 @@ Prefix relations become equi-joins by exploding the ancestors of a path.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions import paths
+from canopy.functions.text import fold_text, with_folded
+from canopy.sources.work import work_table
 
 
 def minimal_roots(df: DataFrame, path: str = "path") -> DataFrame:
@@ -55,17 +56,18 @@ def numbered(df: DataFrame, order: list, group: str, name: str) -> DataFrame:
     Rows are range-partitioned by group and order; each partition numbers its
     own, and the few counts per partition and group give the offsets.
     """
-    dealt = df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    dealt = df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id())
+    dealt = work_table(dealt, "numbered")
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("_part", group).agg(F.count("*").alias("_n")).select("_part", group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     local = Window.partitionBy("_part", group).orderBy(*order)
-    return dealt.withColumn("_local", F.row_number().over(local) - 1).join(F.broadcast(offsets), ["_part", group]).withColumn(name, (F.col("_before") + F.col("_local")).cast("long")).drop("_part", "_local", "_before")
+    return dealt.withColumn("_local", F.row_number().over(local) - 1).join(offsets, ["_part", group]).withColumn(name, (F.col("_before") + F.col("_local")).cast("long")).drop("_part", "_local", "_before")
 
 
 def preorder(entries: DataFrame) -> DataFrame:
     """Entries with ``ordinal`` (preorder from 0), ``subtree_end`` and ``child_count`` per volume."""
-    folded = F.lower("path")
-    rows = numbered(entries.withColumn("_key", paths.preorder_key(F.col("path"), folded)), [F.col("_key")], "volume", "ordinal").drop("_key")
+    keyed = with_folded(entries, "path", "_folded").withColumn("_key", paths.preorder_key(F.col("path"), F.col("_folded"))).drop("_folded")
+    rows = numbered(keyed, [F.col("_key")], "volume", "ordinal").drop("_key")
     # Counts are made before the shuffle, so a root above all rows is a row per task.
     below = entries.select("volume", F.explode(paths.ancestors(F.col("path"))).alias("path")).groupBy("volume", "path").agg(F.count("*").alias("_below"))
     kids = child_counts(entries).select("volume", F.col("parent").alias("path"), F.col("children").alias("child_count"))
@@ -78,18 +80,11 @@ def reconstruct(nodes: DataFrame, max_depth: int = 2048) -> DataFrame:
 
     A root has itself as parent.
     """
-    spark = nodes.sparkSession
     step = nodes.select("volume", "id", F.col("parent_id").alias("up"), F.when(F.col("id") == F.col("parent_id"), "").otherwise(F.concat(F.lit("/"), "name")).alias("tail"))
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     for _ in range(max(1, max_depth.bit_length())):
         other = step.select("volume", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("tail").alias("tail2"))
         nxt = step.join(other, ["volume", "up"]).select("volume", "id", F.col("up2").alias("up"), F.concat(F.when(F.col("up") == F.col("id"), "").otherwise(F.col("tail2")), "tail").alias("tail"), (F.col("up2") != F.col("up")).alias("moved"))
-        if folder:
-            if not spark.sparkContext.getCheckpointDir():
-                spark.sparkContext.setCheckpointDir(folder)
-            nxt = nxt.checkpoint()
-        else:
-            nxt = nxt.persist()
+        nxt = work_table(nxt, "paths")
         step = nxt.drop("moved")
         if nxt.where("moved").isEmpty():
             break
@@ -104,9 +99,32 @@ def with_parents(entries: DataFrame) -> DataFrame:
 
 
 def resolvable(entries: DataFrame, asked: DataFrame) -> DataFrame:
-    """Asked (volume, path) that exist and that no link, file or mount point stands above."""
+    """Asked (volume, path) that exist and that no link, file, mount point or (where entries tell their device) other device stands above."""
     there = asked.join(entries.select("volume", "path"), ["volume", "path"], "left_semi")
     up = there.select("volume", "path", F.explode(paths.ancestors(F.col("path"))).alias("up"))
-    walls = entries.where(F.col("kind") != "directory").select("volume", F.col("path").alias("up"))
+    open_ = F.col("kind") == "directory"
+    if "is_mount_point" in entries.columns:
+        open_ = open_ & (~F.coalesce("is_mount_point", F.lit(False)) | (F.col("path") == "/"))
+    walls = entries
+    if "device_id" in entries.columns:
+        walls = walls.join(root_devices(entries), "volume", "left")
+        open_ = open_ & (F.coalesce("device_id", F.lit(0)).isin(0) | F.coalesce(F.col("device_id") == F.col("_root_device"), F.lit(True)))
+    walls = walls.where(~open_).select("volume", F.col("path").alias("up"))
     blocked = up.join(walls, ["volume", "up"], "left_semi").select("volume", "path").distinct()
     return there.join(blocked, ["volume", "path"], "left_anti")
+
+
+def root_devices(entries: DataFrame) -> DataFrame:
+    """The device of each volume's root: a row per volume."""
+    return entries.where("path = '/'").groupBy("volume").agg(F.max("device_id").alias("_root_device"))
+
+
+def lookup_child(entries: DataFrame, volume: str, parent: str, name: str) -> DataFrame:
+    """The child of that name; where none has it byte for byte, those of the same folded group that are canonically equal (composed or not)."""
+    import unicodedata
+
+    nfc = F.udf(lambda s: s and unicodedata.normalize("NFC", s), "string")
+    group = entries.where((F.col("volume") == volume) & (F.col("parent") == parent) & (F.col("path") != parent) & (F.col("folded") == fold_text(name)))  # few rows: one folded name of one directory
+    equal = group.where(nfc("name") == unicodedata.normalize("NFC", name)).withColumn("_exact", F.col("name") == name)
+    best = Window.partitionBy("volume", "parent").orderBy(F.col("_exact").desc(), "name")
+    return equal.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_exact", "_n")

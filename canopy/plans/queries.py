@@ -196,11 +196,6 @@ def page_digest(spark: SparkSession, d: str) -> DataFrame:
     return stats.page_digest(s.search(ns.files(spark, d), s.Request("small", 50, "size")))
 
 
-@query("idle_average")
-def idle_average(spark: SparkSession, d: str) -> DataFrame:
-    return stats.idle_average(ns.read(spark, d, "events").select(F.col("user_id").alias("series"), F.col("event_id").alias("at"), "value"))
-
-
 # ---------------------------------------------------------------- paths and trees
 
 DOTTED = "'//' || volume || '/./' || 'x/../' || split_part(path, '/', 3) || '//' || name || CASE WHEN part % 5 = 0 THEN '/..' WHEN part % 7 = 0 THEN '/' ELSE '' END"
@@ -453,10 +448,11 @@ CLASS_SQL = f"""CASE WHEN {_any(ev.LOST)} THEN 'invalidated' WHEN {_any(ev.FLAGS
 WHEN {_any(ev.bits("mount", "unmount"))} OR {_any(ev.FLAGS["renamed"])} OR (flags & {_BOTH}) = {_BOTH} OR {_UNKNOWN} THEN 'ambiguous' WHEN {_any(ev.FLAGS["removed"])} THEN 'simple_remove'
 WHEN {_any(ev.FLAGS["created"])} THEN CASE WHEN {_ONE} THEN 'simple_create:' || CASE WHEN {_any(ev.FLAGS["is_file"])} THEN 'file' WHEN {_any(ev.FLAGS["is_dir"])} THEN 'directory' ELSE 'symlink' END ELSE 'ambiguous' END
 WHEN {_any(ev.CONTENT)} AND {_ONE} THEN 'content_only' ELSE 'ambiguous' END"""
-IMPACT_SQL = f"""CASE WHEN {_any(ev.LOST | ev.bits("mount", "unmount"))} THEN 'invalidated' WHEN {_any(ev.FLAGS["must_scan"])} OR {_UNKNOWN} OR (flags & {_BOTH}) = {_BOTH} THEN 'reconcile_parent'
-WHEN {_any(ev.FLAGS["history_done"])} THEN 'none' WHEN {_any(ev.FLAGS["renamed"])} THEN 'reconcile_parent' WHEN {_any(ev.FLAGS["removed"])} THEN 'remove' WHEN NOT {_any(ev.CONTENT | ev.FLAGS["created"])} THEN 'none'
-WHEN NOT {_ONE} THEN 'reconcile_parent' WHEN {_any(ev.bits("is_dir", "is_symlink"))} THEN 'refresh_time' ELSE 'refresh_size_and_time' END"""
-ORDINARY_SQL = f"NOT {_any(ev.SPECIAL)} AND NOT {_UNKNOWN} AND {_any(ev.CONTENT | ev.bits('created', 'removed', 'renamed'))}"
+IMPACT_SQL = f"""CASE WHEN {_any(ev.LOST | ev.bits("mount", "unmount"))} THEN 'invalidated' WHEN {_any(ev.FLAGS["must_scan"])} THEN 'reconcile_parent'
+WHEN {_any(ev.FLAGS["history_done"])} THEN 'none' WHEN {_UNKNOWN} THEN 'reconcile_parent' WHEN (flags & {_BOTH}) = {_BOTH} THEN 'reconcile_parent' WHEN {_any(ev.FLAGS["removed"])} THEN 'remove'
+WHEN {_any(ev.bits("created", "renamed", "modified", "inode_meta"))} THEN CASE WHEN {_any(ev.bits("is_dir", "is_symlink"))} THEN 'refresh_time' ELSE 'refresh_size_and_time' END
+WHEN {_any(ev.bits("xattr", "finder_info", "owner", "own_event", "hardlink", "last_hardlink", "cloned"))} AND NOT {_any(ev.TYPES)} THEN 'reconcile_parent' ELSE 'none' END"""
+ORDINARY_SQL = f"(({CLASS_SQL}) IN ('simple_create:file', 'simple_create:directory', 'simple_create:symlink', 'simple_remove', 'content_only') OR ({_any(ev.FLAGS['renamed'])} AND (flags - (flags & {ev.FLAGS['renamed'] | ev.TYPES})) = 0))"
 
 
 @query("event_classify", f"WITH {EV} SELECT id, {CLASS_SQL} AS class FROM ev")
@@ -505,43 +501,3 @@ def failure_policy(spark: SparkSession, d: str) -> DataFrame:
     names = F.array(*[F.lit(x) for x in "ECANCELED EACCES EPERM ENODATA ENOENT ENOTDIR ELOOP EXDEV EIO".split()])
     e = F.col("event_id")
     return ns.read(spark, d, "events").select(e.alias("id"), ev.failure_policy(F.element_at(names, (e % 9 + 1).cast("int")), e % 5 == 0).alias("action"))
-
-
-# ---------------------------------------------------------------- not in SQL
-
-
-@query("unicode_fold")
-def unicode_fold(spark: SparkSession, d: str) -> DataFrame:
-    rows = ns.files(spark, d).select("path", F.concat(F.lit("Straße-CAFÉ "), "name").alias("name"))
-    return text.with_folded(rows)
-
-
-@query("snapshot_roundtrip")
-def snapshot_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    from canopy.sources.store import SnapshotStore
-
-    store = SnapshotStore(spark, work_dir(spark, "store"))
-    base, gone, delta = layers(spark, d)
-    store.publish(base, 10)
-    store.compact(gone, delta, 20)
-    return stats.index_stats(store.load())
-
-
-@query("stream_replay")
-def stream_replay(spark: SparkSession, d: str) -> DataFrame:
-    from canopy.streaming import pipeline
-
-    root = work_dir(spark, "stream")
-    ns.change_events(spark, d).repartition(4).write.parquet(f"{root}/in")
-    for _ in range(2):  # the second run finds nothing new
-        pipeline.run(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", max_files=2).awaitTermination()
-    return pipeline.applied(spark, f"{root}/out").groupBy("class", "impact").agg(F.count("*").alias("paths"), F.sum("n").alias("events"))
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one; a temporary folder only where none is set."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="canopy-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

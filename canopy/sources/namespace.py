@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from canopy.functions import events as ev
 from canopy.functions import paths
 from canopy.functions.text import fold_ascii, with_folded
+from canopy.sources.work import work_table
 
 ENTRY = T.StructType(
     [
@@ -135,7 +136,7 @@ def scan(spark: SparkSession, volume: str, root: str, excluded: tuple[str, ...]
     level = spark.createDataFrame([(volume, root)], "volume string, path string")
     out = None
     while True:
-        found = level.repartition(workers).mapInArrow(_listed, LISTING).where(~F.col("path").isin(list(excluded)) if excluded else F.lit(True)).persist()
+        found = work_table(level.repartition(workers).mapInArrow(_listed, LISTING).where(~F.col("path").isin(list(excluded)) if excluded else F.lit(True)), "level")
         if out is None and (bad := found.where(F.col("error").isNotNull()).first()):
             raise OSError(f"{root}: {bad.error}")
         out = found if out is None else out.unionByName(found)

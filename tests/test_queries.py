@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from canopy.plans import more  # noqa: F401
 from canopy.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
