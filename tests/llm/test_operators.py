@@ -688,3 +688,41 @@ def test_shards_are_read_in_place(spark, docs):
                 assert [shard.matrix.access(a + k) for k in (0, n - 1)] == [by_id[d][0], 1] and n == len(by_id[d])
         ids += mine
     assert len(ids) > 100
+
+
+def test_pipeline_stage_by_stage(spark, docs):
+    """Each stage on what its predecessor kept, held against the brute-force versions."""
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    names = [n for n, _ in cp.STAGES]
+    assert names == ["quality rules", "near dedup", "benchmark decontamination", "mixing", "token output"]
+    rows = docs
+    quality = {(r.doc_id, r.kept) for r in repeats.quality(docs).collect()}
+    kept = cp.quality_rules(spark, rows, sf)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, k in quality if k}
+    after = cp.near_dedup(spark, kept, sf)
+    held = [tuple(r) for r in kept.collect()]
+    want = {i for i, _, _, k in brute_components(held, 5) if k}
+    assert {r.doc_id for r in after.collect()} == want
+    assert {r.doc_id for r in cp.benchmark_decontamination(spark, after, sf).collect()} == want  # the fixture holds no item
+    mixed = cp.source_mixing(spark, after, sf)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in mixing.planned(after).collect())
+    assert cp.token_output(spark, mixed, sf).count() == mixed.count()
+    assert cp.near_dedup(spark, cp.quality_rules(spark, docs.limit(0), sf), sf).count() == 0
+
+
+def test_sql_of_the_queries(spark):
+    import duckdb
+
+    from canopy.llm import queries as q
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name, sql in q.oracle_sql().items():
+        got = q.queries()[name](spark, sf)
+        want = con.sql(sql)
+        assert sorted(got.columns) == sorted(want.columns), name
+        cols = sorted(want.columns)
+        same(got.select(*cols).collect(), want.select(*[f'"{c}"' for c in cols]).fetchall())
