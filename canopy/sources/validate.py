@@ -32,8 +32,7 @@ def violations(entries: DataFrame) -> DataFrame:
     ]
     whys = F.array_compact(F.array(*[F.when(rule, F.lit(why)) for rule, why in rules]))
     alone = own.select("volume", "path", F.explode(whys).alias("why"))
-    folded = with_folded(own.drop("folded"), "name", "_f").select("volume", "path", "_f").join(own.select("volume", "path", "folded"), ["volume", "path"])
-    wrong_fold = folded.where(~F.col("folded").eqNullSafe(F.col("_f"))).select("volume", "path", F.lit("fold").alias("why"))
+    wrong_fold = with_folded(own, "name", "_f").where(~F.col("folded").eqNullSafe(F.col("_f"))).select("volume", "path", F.lit("fold").alias("why"))
     twice = own.groupBy("volume", "path").agg(F.count("*").alias("n")).where("n > 1").select("volume", "path", F.lit("twice").alias("why"))
     folders = own.where("kind = 'directory'").select("volume", path.alias("parent")).distinct()
     orphans = own.where("path <> '/'").join(folders, ["volume", "parent"], "left_anti").select("volume", "path", F.lit("orphan").alias("why"))
