@@ -46,6 +46,14 @@ def same_directory(a: str, b: str, columns: list[str]) -> Column:
     return same
 
 
+def replaced_directories(base: DataFrame, upserts: DataFrame) -> DataFrame:
+    """Directories of ``base`` that an upsert turns into something else or into another directory."""
+    shared = [c for c in base.columns if c in upserts.columns]
+    old = base.where("kind = 'directory'").select(*KEY, F.struct(*shared).alias("was"))
+    new = upserts.select(*KEY, F.struct(*shared).alias("now"))
+    return old.join(new, KEY).where(~same_directory("was", "now", shared)).select(*KEY)
+
+
 @dataclass
 class Applied:
     live: DataFrame
