@@ -5,7 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from canopy.operators import reconcile
+from canopy.operators import overlay, reconcile
 from canopy.sources import work
 
 COLUMNS = ["volume", "path", "parent", "name", "kind", "size", "file_id"]
@@ -27,6 +27,14 @@ def frame(spark, rows):
     return work.work_table(spark.createDataFrame(rows, "volume string, path string, parent string, name string, kind string, size long, file_id long"), "given")
 
 
+def shuffled(spark):
+    """Records that all stages so far have written to shuffles."""
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = store.stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
 def tree():
     dirs = [row("/", "directory"), *[row(f"/d{i}", "directory", file_id=i) for i in range(20)]]
     return dirs + [row(f"/d{i % 20}/f{i}", size=i, file_id=i) for i in range(N)]
@@ -48,6 +56,20 @@ def test_equal_rows_are_not_stored(spark, shared):
         assert spark.read.parquet(*[f"file://{p}" for p in shared.glob(f"{name}-*")]).count() < 100
 
 
+def test_untouched_rows_are_not_shuffled(spark, shared):
+    old = tree()
+    base = frame(spark, old)
+    ops = [("remove", 1, *row("/d3", "directory")), ("remove", 1, *row("/d4/f4")), ("upsert", 2, *row("/d5/f5", size=-1)), ("upsert", 2, *row("/d6/n/m")), ("upsert", 3, *row("/d8", "file"))]
+    ops = spark.createDataFrame(ops, "op string, seq long, volume string, path string, parent string, name string, kind string, size long, file_id long")
+    before = shuffled(spark)
+    done = overlay.apply_mutations(base, ops)
+    live = {r.path: r["size"] for r in done.live.collect()}
+    assert shuffled(spark) - before < N / 2
+    want = {r[1]: r[5] for r in old if not f"{r[1]}/".startswith(("/d3/", "/d8/")) and r[1] != "/d4/f4"} | {"/d5/f5": -1, "/d8": 1}
+    assert live == want
+    assert {r.path for r in done.tombstones.collect()} == {r[1] for r in old if f"{r[1]}/".startswith("/d3/") or r[1].startswith("/d8/") or r[1] == "/d4/f4"}
+
+
 def test_marks_miss_no_key(spark, shared):
     rows = spark.range(50_000).select(F.concat(F.lit("k"), "id").alias("k"), "id")
     near, far = work.Marks(rows.where("id % 10 = 3"), ["k"]).split(rows)
