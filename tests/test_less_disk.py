@@ -1,12 +1,18 @@
 """What compares two large trees neither stores nor shuffles what is equal in both, and leaves no shuffle files."""
 
+import hashlib
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from canopy.engine import Config, Engine
+from canopy.functions import events as ev
+from canopy.functions.text import with_folded
 from canopy.operators import overlay, reconcile
-from canopy.sources import work
+from canopy.sources import validate, work
+from canopy.sources.store import SnapshotStore, StoreError
+from canopy.streaming import live
 
 COLUMNS = ["volume", "path", "parent", "name", "kind", "size", "file_id"]
 N = 20_000
@@ -27,12 +33,20 @@ def frame(spark, rows):
     return work.work_table(spark.createDataFrame(rows, "volume string, path string, parent string, name string, kind string, size long, file_id long"), "given")
 
 
-def shuffled(spark):
-    """Records that all stages so far have written to shuffles."""
+def stages(spark):
     jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
     none = spark.sparkContext._gateway.new_array(jvm.double, 0)
-    stages = store.stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
-    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+    found = store.stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+    return [found.apply(i) for i in range(found.size())]
+
+
+def shuffled(spark):
+    """Records that all stages so far have written to shuffles."""
+    return sum(s.shuffleWriteRecords() for s in stages(spark))
+
+
+def shuffled_bytes(spark):
+    return sum(s.shuffleWriteBytes() for s in stages(spark))
 
 
 def tree():
@@ -75,3 +89,26 @@ def test_marks_miss_no_key(spark, shared):
     near, far = work.Marks(rows.where("id % 10 = 3"), ["k"]).split(rows)
     assert near.where("id % 10 = 3").count() == 5_000 and near.count() < 5_500
     assert near.count() + far.count() == 50_000 and near.columns == ["k", "id"]
+
+
+def test_a_published_tree_is_checked_by_hashes(spark, shared):
+    names = [row(f"/d1/{hashlib.sha256(str(i).encode()).hexdigest()}") for i in range(N)]
+    rows = with_folded(frame(spark, [*tree()[:30], *names]))
+    store = SnapshotStore(spark, f"{shared}/store")
+    hashes = shuffled_bytes(spark)
+    store.publish(rows, 1)
+    assert shuffled_bytes(spark) - hashes < 25 * N  # a path takes more
+    twice = rows.unionByName(rows.where("path = '/d1/f1'"))
+    assert [tuple(r) for r in validate.violations(twice).collect()] == [("v", "/d1/f1", "twice")]
+    with pytest.raises(StoreError, match="twice"):
+        store.publish(twice, 2)
+
+
+def test_a_full_inbox_is_not_stored(spark, shared):
+    engine = Engine(spark, Config(f"{shared}/index"))
+    engine.load(frame(spark, tree()[:100]), 1)
+    flags = ev.FLAGS["must_scan"]
+    events = spark.range(2, live.INBOX + 3).select(F.lit("v").alias("volume"), "id", F.lit("/d1").alias("path"), F.lit(flags).cast("long").alias("flags"))
+    assert live.take(engine, events, 0, lambda base: base) == "rebuild"
+    assert not list(shared.glob("inbox-*")) and engine.store.manifest().cursor == 1
+    assert live.take(engine, events.limit(5), 1, lambda base: base) == "applied"
