@@ -9,7 +9,7 @@ stays and the others go, if they form a run of some length.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -103,20 +103,32 @@ def identified(docs: DataFrame) -> DataFrame:
     )
 
 
+def united(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
+    """[start, end] of the runs that spans of (start, size) cover; those that touch are one."""
+    out: list[list[int]] = []
+    for a, s in sorted(spans):
+        if out and out[-1][1] >= a:
+            out[-1][1] = max(out[-1][1], a + s)
+        else:
+            out.append([a, a + s])
+    return out
+
+
 def cleaned(batches: Iterator[pa.RecordBatch], min_run: int, with_text: bool) -> Iterator[pa.RecordBatch]:
-    """Cut the spans (arrays ``at`` and ``size``; they may touch or overlap) out of each text's bytes; united spans under ``min_run`` bytes stay."""
-    longs = ("n_bytes", "n_removed", "n_spans")
+    """Cut the spans (arrays ``at`` and ``size``; they may touch or overlap) out of each text's bytes; united spans under ``min_run`` bytes stay.
+
+    With an array ``cut``, spans where it is false stay too, and ``n_repeated`` is the number of bytes in any span.
+    """
+    longs = ("n_bytes", "n_removed", "n_spans", "n_repeated")
     for b in slices(batches):
-        out: dict[str, list] = {k: [] for k in (*longs, "kept_sha256", *["kept_text"] * with_text)}
-        for text, at, size in zip(*(b.column(n).to_pylist() for n in ("text", "at", "size"))):
+        told = "cut" in b.schema.names
+        out: dict[str, list] = {k: [] for k in (*longs[:3], "kept_sha256", *["kept_text"] * with_text, *["n_repeated"] * told)}
+        cuts = b.column("cut").to_pylist() if told else [None] * b.num_rows
+        for text, at, size, cut in zip(*(b.column(n).to_pylist() for n in ("text", "at", "size")), cuts):
             data = text.encode() if text else b""
-            spans: list[list[int]] = []
-            for a, s in sorted(zip(at or [], size or [])):
-                if spans and spans[-1][1] >= a:
-                    spans[-1][1] = max(spans[-1][1], a + s)
-                else:
-                    spans.append([a, a + s])
-            spans = [x for x in spans if x[1] - x[0] >= min_run]
+            if told:
+                out["n_repeated"].append(sum(e - a for a, e in united(zip(at or [], size or []))))
+            spans = [x for x in united((a, s) for a, s, c in zip(at or [], size or [], cut or [True] * len(at or [])) if c) if x[1] - x[0] >= min_run]
             kept, last = [], 0
             for a, e in spans:
                 kept.append(data[last:a])
@@ -134,11 +146,13 @@ def cleaned(batches: Iterator[pa.RecordBatch], min_run: int, with_text: bool) ->
 
 
 def cut_spans(rows: DataFrame, spans: DataFrame, min_run: int = 1, with_text: bool = False) -> DataFrame:
-    """``rows`` of ``identified`` without the bytes in ``spans(key, tie, at, size)``; one row per row."""
+    """``rows`` of ``identified`` without the bytes in ``spans(key, tie, at, size)``; one row per row. With a boolean ``cut`` as in ``cleaned``."""
     # A text has no more spans than bytes, so a list per text is as bounded as the text is.
-    per = spans.groupBy("key", "tie").agg(F.collect_list("at").alias("at"), F.collect_list("size").alias("size"))
-    joined = rows.join(per, ["key", "tie"], "left").select("doc_id", "text", "at", "size")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    told = "cut" in spans.columns
+    lists = ["at", "size", *["cut"] * told]
+    per = spans.groupBy("key", "tie").agg(*(F.collect_list(c).alias(c) for c in lists))
+    joined = rows.join(per, ["key", "tie"], "left").select("doc_id", "text", *lists)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text + ", n_repeated long" * told
     return joined.mapInArrow(lambda it: cleaned(it, min_run, with_text), schema)
 
 

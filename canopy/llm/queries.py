@@ -33,9 +33,9 @@ def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_prefix_free_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from canopy.llm.phrases import remove_repeats
+    from canopy.llm.phrases import PASSAGES, remove_repeats
 
-    return remove_repeats(read(spark, sf_dir, "documents"))
+    return remove_repeats(read(spark, sf_dir, "documents"), PASSAGES)
 
 
 def op4_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

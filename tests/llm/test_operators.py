@@ -190,6 +190,34 @@ def test_prefix_free_parse(docs, empty, p):
     assert phrases.remove_repeats(empty, p).count() == 0
 
 
+def brute_passages(texts, short):
+    return [x[1] for x in brute_repeats(texts, short)]
+
+
+@pytest.mark.parametrize("p", [phrases.PASSAGES, phrases.Parse(60, 24, short=40), phrases.Parse(60, 24, group_rows=1, short=40), phrases.Parse(400, 216, group_rows=1, short=256)])
+def test_short_passages_are_told_and_stay(docs, p):
+    texts = [r[1] for r in ROWS]
+    want = [(r[0], *x, n) for r, x, n in zip(ROWS, brute_repeats(texts, p.length), brute_passages(texts, p.short))]
+    same(phrases.remove_repeats(docs, p).collect(), want)
+
+
+def test_passages_of_over_50_words_are_told(spark):
+    """Passages under 400 bytes, anywhere in a text and at its end, in texts that share nothing else."""
+    r = random.Random(21)
+    rows = []
+    for i in range(24):
+        passage = prose(r, 80).encode()[: 256 + 12 * (i % 13)].decode(errors="ignore")
+        for j in range(2):
+            rows.append((2 * i + j, prose(r, r.randrange(0, 90)) + " " + passage + ("" if i % 3 == j else " " + prose(r, r.randrange(1, 90)))))
+    rows += [(100 + i, prose(r, 200)) for i in range(10)] + [(200, passage), (201, ("xyz" * 90)[:256]), (202, ("xyz" * 90)[:258])]
+    texts = [t for _, t in rows]
+    want = [(i, *x, n) for (i, _), x, n in zip(rows, brute_repeats(texts, 400), brute_passages(texts, 256))]
+    got = phrases.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), phrases.PASSAGES).collect()
+    same(got, want)
+    assert all(x.n_repeated >= 255 for x in got if x.doc_id < 48) and not any(x.n_repeated for x in got if 100 <= x.doc_id < 200)
+    assert sum(x.n_removed == 0 < x.n_repeated for x in got) > 30
+
+
 def test_texts_of_one_id_are_told_apart(spark):
     from pyspark.sql import functions as F
 
